@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,3 +65,38 @@ def running_before(df: DataFrame, keys: list[str], order: list[Column], spread:
     same = [dealt[k].eqNullSafe(starts[f"_k{i}"]) for i, k in enumerate(keys)] + [dealt["_bucket"] == starts["_b"]]
     joined = dealt.join(starts, same, "inner")
     return joined.withColumn(name, F.col("_start") + F.col("_within")).drop("_bucket", "_weight", "_within", "_start", "_b", *(f"_k{i}" for i in range(len(keys))))
+
+
+#: Characters at which Python's str.split cuts though they are no separators of words here.
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_ASCII_SPACE = re.compile("[ \t-\r]+")
+
+
+def split_words(text: str | None) -> list[str]:
+    """The words of a text, as ``words`` cuts them."""
+    if not text:
+        return []
+    return [w for w in _ASCII_SPACE.split(text) if w] if _OTHER_SPACE.search(text) else text.split()
+
+
+def by_group(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Groups of rows that are equal in the first ``keys`` columns (integers, not null), from rows sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(starts[:-1], starts[1:]):
+            key = tuple(int(c[a]) for c in columns)
+            if held and key != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield last, pa.Table.from_batches(held)
