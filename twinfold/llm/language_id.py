@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bounds of the training sample: documents and distinct words for each language.
 SAMPLE_DOCS, SAMPLE_WORDS, ROUNDS = 400, 4000, 2
@@ -209,8 +210,8 @@ class WordScores(dict):
         return self.table
 
 
-def identify(docs: DataFrame, model: LanguageModel, cache_words: int = 600_000) -> DataFrame:
-    """doc_id, lang_pred, score (posterior probability of lang_pred) for every row of docs."""
+def identify(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...] = (), cache_words: int = 600_000) -> DataFrame:
+    """doc_id, the carried columns, lang_pred and score (posterior probability of lang_pred) for every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary times languages: it does not grow with the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,9 +236,11 @@ def identify(docs: DataFrame, model: LanguageModel, cache_words: int = 600_000)
                     best = int(np.argmax(total))
                     names.append(m.langs[best])
                     scores.append(1 / math.fsum(np.exp(np.clip(total - total[best], -745, 0))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", *carry, "lang_pred", "score"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = docs.select(docs["doc_id"].cast("long"), docs["text"].alias("_text"), *(docs[c] for c in carry))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(f.name, f.dataType) for f in rows.schema[2:]), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:

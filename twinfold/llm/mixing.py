@@ -54,7 +54,7 @@ def seats(sources: DataFrame, houses: DataFrame) -> DataFrame:
     (S sources); only the quotients between the two roundings, some 3 S a house, compete for what is left.
     """
     every = Window.partitionBy("house")
-    t, n = F.sum("target").over(every), F.count(F.lit(1)).over(every)
+    t, n = F.greatest(F.sum("target").over(every), F.lit(1e-9)), F.count(F.lit(1)).over(every)
     grid = sources.select("source", "target", F.explode(houses).alias("house"))
     near = grid.select(
         "source", "target", "house",
