@@ -134,8 +134,12 @@ def transferable(units: DataFrame, gold_ends: DataFrame, own_ends: DataFrame, re
     at = flags.groupBy("project_id", "s", "t").agg(F.max("open").alias("open"))
     zero = at.select("project_id").distinct().select("project_id", *(F.lit(0).cast("long").alias(c) for c in ("s", "t", "open")))
     at = at.where("not (s = 0 and t = 0)").unionByName(zero)
-    past = Window.partitionBy("project_id").orderBy("unit_no").rowsBetween(Window.unboundedPreceding, 0)
-    ends = units.join(own_ends.select("project_id", F.col("bead").alias("last_bead"), "s", "t"), ["project_id", "last_bead"], "left").withColumn("s", F.coalesce(F.max("s").over(past), F.lit(0))).withColumn("t", F.coalesce(F.max("t").over(past), F.lit(0)))
+    # A unit's edge is the fresh book's last boundary up to its last bead.
+    every = own_ends.select("project_id", "bead", F.struct("s", "t").alias("_end"), F.lit(None).cast("long").alias("unit_no"), F.lit(None).cast("long").alias("first_bead"))
+    every = every.unionByName(units.select("project_id", F.col("last_bead").alias("bead"), F.lit(None).cast("struct<s:bigint,t:bigint>").alias("_end"), "unit_no", "first_bead"))
+    past = Window.partitionBy("project_id").orderBy("bead", F.col("unit_no").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ends = every.withColumn("_at", F.last("_end", ignorenulls=True).over(past)).where("unit_no is not null")
+    ends = ends.select("project_id", "unit_no", "first_bead", F.col("bead").alias("last_bead"), F.coalesce("_at.s", F.lit(0)).alias("s"), F.coalesce("_at.t", F.lit(0)).alias("t"))
     step = Window.partitionBy("project_id").orderBy("unit_no")
     edges = ends.withColumn("s0", F.coalesce(F.lag("s").over(step), F.lit(0))).withColumn("t0", F.coalesce(F.lag("t").over(step), F.lit(0))).where("s <> s0 or t <> t0")
     a = at.select("project_id", F.col("s").alias("s0"), F.col("t").alias("t0"), F.col("open").alias("open0"))
