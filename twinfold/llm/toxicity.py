@@ -5,7 +5,7 @@ keeps a learning rate for each coordinate and its L1 term leaves most weights at
 broadcast is a short list. It is trained on a bounded, hash-ordered sample of labelled rows, streamed through one
 task; scoring is one pass over every whole text without a shuffle.
 
-Defined results: a null or empty text gets the score of the intercept; without any labelled row every score is 0.5;
+Defined results: a null or empty text gets the share of toxic rows in the sample; without any labelled row every score is 0.5;
 of repeated labels of a document the largest counts; a null doc_id is carried through; other columns are ignored.
 """
 
@@ -44,20 +44,19 @@ def features(text: str | None, hashes: WordHashes, bits: int = BITS) -> np.ndarr
 
 
 class Ftrl:
-    """FTRL-proximal with per-coordinate rates; the last coordinate is the intercept, free of L1."""
+    """FTRL-proximal with per-coordinate rates; ``bias`` is the log-odds of the sample's labels and stays as it is."""
 
-    def __init__(self, bits: int = BITS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
-        self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
+    def __init__(self, bits: int = BITS, bias: float = 0.0, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
+        self.z, self.n, self.bias = np.zeros(1 << bits), np.zeros(1 << bits), bias
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
     def weights(self, at: np.ndarray) -> np.ndarray:
-        z, l1 = self.z[at], np.where(at == len(self.z) - 1, 0.0, self.l1)
-        return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2))
+        z = self.z[at]
+        return np.where(np.abs(z) <= self.l1, 0.0, (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2))
 
-    def learn(self, x: np.ndarray, label: int) -> None:
-        at = np.append(x, len(self.z) - 1)
+    def learn(self, at: np.ndarray, label: int) -> None:
         w = self.weights(at)
-        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+        g = 1 / (1 + np.exp(-np.clip(w.sum() + self.bias, -35, 35))) - label
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
@@ -81,18 +80,20 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, bits: int = BITS,
     sample = labelled.where("toxic is not null and doc_id is not null").select(F.xxhash64("doc_id", F.lit(17)).alias("_h"), "doc_id", "text", F.col("toxic").cast("int")).orderBy("_h", "doc_id").limit(sample_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, model, rows = WordHashes(), Ftrl(bits), []
+        hashes, rows = WordHashes(), []
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows.append((np.unique(features(text, hashes, bits)).astype(np.int32), int(label > 0)))
             hashes.clear()
+        positive = sum(label for _, label in rows)
+        model = Ftrl(bits, float(np.log((positive + 0.5) / (len(rows) - positive + 0.5))))
         for _ in range(epochs):
             for x, label in rows:
                 model.learn(x.astype(np.int64), label)
         every = np.arange(len(model.z))
         w = model.weights(every)
         used = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(w[used], pa.float64())], names=["at", "weight"])
+        yield pa.RecordBatch.from_arrays([pa.array([*used, 1 << bits], pa.int64()), pa.array([*w[used], model.bias], pa.float64())], names=["at", "weight"])
 
     got = sample.select("text", "toxic").coalesce(1).mapInArrow(run, "at long, weight double").collect()
     at, weight = np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], float)
