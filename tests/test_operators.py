@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinfold.functions import text as T
-from twinfold.operators import align, edits, export, history, quality, search
+from twinfold.operators import align, edits, export, history, quality, repair, search, store
 from twinfold.sources import ingest, layout
 from twinfold.streaming import history as streamed
 
@@ -245,3 +245,42 @@ def test_empty_sets_score(spark):
     books = spark.createDataFrame([(1,)], "project_id long")
     assert tuple(quality.alignment_score(none, none, books).first())[4:] == (1.0, 1.0, 1.0)
     assert tuple(quality.alignment_score(some, none, books).first())[4:] == (0.0, 0.0, 0.0)
+
+
+def test_rebase_moves_merges_and_cuts(spark):
+    gold = [(1, "source", 0, 0, "First part", "First part", 0, False), (1, "source", 1, 1, "12", "12", 1, False), (1, "source", 2, 2, "goes on.", "goes on.", 2, False), (1, "source", 3, 3, "One. Two.", "One. Two.", 3, False)]
+    fresh = [(1, "source", 0, "First part goes on.", False), (1, "source", 1, "12", True), (1, "source", 2, "One.", False), (1, "source", 3, "Two.", False)]
+    g = spark.createDataFrame(gold, "project_id long, side string, block long, pos long, text string, original string, bead long, excluded boolean")
+    f = spark.createDataFrame(fresh, "project_id long, side string, block long, text string, excluded boolean")
+    made = repair.rebased(g, f)
+    got = [(r.block, r.text, r.bead, r.excluded) for r in made.orderBy("pos").collect()]
+    assert got == [(0, "First part", 0, False), (0, "goes on.", 2, False), (1, "12", None, True), (2, "One.", 3, False), (3, " Two.", 3, False)]
+    assert [r.bead for r in repair.checked_rebase(g, made).collect()] == [1]
+    with pytest.raises(ValueError, match="not in the reference"):
+        repair.rebase_side([], [{"text": "x", "excluded": False}])
+
+
+def test_decisions_must_be_complete(spark):
+    segs = spark.createDataFrame([(1, "source", 0, 0, "fi lms et Th e of all")], "project_id long, side string, block_pos long, seg_no long, text string")
+    found = repair.gap_candidates(segs)
+    assert sorted(r.offset for r in found.collect()) == [2, 12, 17]
+    decisions = found.where("offset < 15").withColumn("decision", F.lit("join"))
+    assert [r.offset for r in repair.undecided(found, decisions).collect()] == [17]
+    assert repair.gaps_closed(segs, decisions).first().text == "films et The of all"
+
+
+def test_versions(spark, tmp_path):
+    store.publish(spark, {"t": spark.range(3)}, str(tmp_path), "20240101-120000")
+    assert (tmp_path / "20240101-120000" / "_COMPLETE").is_dir()
+    made = spark.createDataFrame([("a", f"2024-{k:02}") for k in range(12)] + [("a", "2024-11-2")], "library string, version string")
+    assert sorted(r.version for r in store.kept_versions(made).collect())[0] == "2024-03"
+
+
+def test_scale_library(spark):
+    made = store.scale_library(spark, 3, 20)
+    assert made.count() == 120 and made.select("project_id", "bead_pos").distinct().count() == 60
+
+
+def test_dropped_ligatures(spark):
+    words = spark.createDataFrame([("lm", 1), ("film", 4), ("other", 1)], "word string, n long")
+    assert [tuple(r) for r in repair.dropped_ligatures(words).select("word", "repair").collect()] == [("lm", "film")]
