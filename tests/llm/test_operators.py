@@ -293,8 +293,15 @@ def test_word_tokenizer_equals_tokenizer():
 
     path = tokenizer("word_bpe_49k.json")
     plain, quick = Tokenizer.from_file(path), packing.WordTokenizer(path, limit=5)
-    texts = ["", " ", "It's, well... DON'T!? 12ab", "İstanbul ΣΑΣ á é,x", "a\x1cb\x85c d", "x y", "<|endoftext|>hi<|startoftext|>", "日本 ﬁ ñandú. Ünder,", "ok." * 50]
-    assert [x.tolist() for x in quick.many(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    texts = ["Hello,", "New; words! Of, every? kind. And: Plain", "", " ", "It's, well... DON'T!? 12ab", "İstanbul ΣΑΣ á é,x", "a\x1cb\x85c d", "x y", "<|endoftext|>hi<|startoftext|>", "日本 ﬁ ñandú. Ünder,", "ok." * 50]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in quick.many(texts)] == want
+    for least in (1, 3):
+        quick = packing.WordTokenizer(path, limit=500)
+        for _ in range(3):
+            assert [x.tolist() for x in quick.many(texts)] == want
+            quick.forget(least)
+        assert [quick.ids(t).tolist() for t in texts] == want
 
 
 def test_warc(spark, tmp_path):

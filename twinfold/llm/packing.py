@@ -43,22 +43,19 @@ class _Words(dict):
     def __init__(self, tokenizer, letters: dict[int, str]):
         self.tokenizer, self.letters = tokenizer, letters
         self.model = tokenizer.model.tokenize
-        self.parts: dict[str, tuple[int, ...]] = {}
         self.ids, self.ends = array("I"), array("q")
 
-    def _model(self, piece: str) -> tuple[int, ...]:
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        found = self.parts[piece] = tuple([t.id for t in self.model(shown)])
-        return found
-
     def __missing__(self, word: str) -> int:
         low = word.lower()
         stem = low if low.isalpha() else low.rstrip(".,;:!?")
         if stem.isalpha() and (stem.isascii() or _PLAIN.fullmatch(stem)):
-            self.ids.extend(self.parts.get(stem) or self._model(stem))
-            if stem is not low:
-                tail = low[len(stem) :]
-                self.ids.extend(self.parts.get(tail) or self._model(tail))
+            if stem == word:
+                shown = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
+                self.ids.extend([t.id for t in self.model(shown)])
+            else:
+                # All parts are known before the word's own ids are laid down.
+                for k in [self[part] for part in ((stem, low[len(stem) :]) if len(stem) < len(low) else (stem,))]:
+                    self.ids.extend(self.ids[self.ends[k - 1] if k else 0 : self.ends[k]])
         else:
             self.ids.extend(self.tokenizer.encode(word, add_special_tokens=False).ids)
         self.ends.append(len(self.ids))
@@ -70,26 +67,46 @@ class WordTokenizer:
     """Ids of a tokenizer whose words are cut at white space, remembered by word.
 
     The tokenizer lower-cases and drops white space, so a text's ids are its words' ids one after another. A word of
-    plain letters goes straight to the BPE model; a word of letters and closing marks is two such pieces; any other
-    word goes through the whole tokenizer. Memory is bounded: beyond ``limit`` words the table is emptied.
+    plain letters goes straight to the BPE model; a capitalised one, or one with closing marks, is made of such pieces;
+    any other word goes through the whole tokenizer. Memory is bounded: beyond ``limit`` words, and when a task ends,
+    words met less than three times are forgotten, and all of them if those are too many.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.letters, self.limit = Tokenizer.from_file(path), byte_letters(), limit
-        self.words = _Words(self.tokenizer, self.letters)
+        self.words, self.met = _Words(self.tokenizer, self.letters), np.zeros(0, np.int64)
+
+    def forget(self, least: int = 3) -> None:
+        """Keep the words met ``least`` times or more."""
+        old, made = self.words, _Words(self.tokenizer, self.letters)
+        keep = np.zeros(len(old), bool)
+        keep[: len(self.met)] = self.met >= least
+        if keep.sum() * 2 < self.limit:
+            ends = np.array(old.ends, np.int64)
+            counts = np.diff(ends, prepend=0)
+            made.update(zip([w for w, k in old.items() if keep[k]], range(int(keep.sum()))))  # in the order of numbers
+            made.ids.frombytes(np.array(old.ids, np.uint32)[np.repeat(keep, counts)].tobytes())
+            made.ends.frombytes(np.cumsum(counts[keep]).tobytes())
+            self.met = self.met[keep[: len(self.met)]] // 2
+        else:
+            self.met = np.zeros(0, np.int64)
+        self.words = made
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         split = [[w for w in _ASCII_SPACE.split(t) if w] if _ODD_SPACE.search(t) else t.split() for t in texts]
         if len(self.words) > self.limit:
-            self.words = _Words(self.tokenizer, self.letters)
+            self.forget()
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
-        ends = np.frombuffer(self.words.ends, np.int64)
-        stop = ends[at] if len(at) else at
-        first = np.where(at > 0, ends[at - 1], 0) if len(at) else at
+        met = np.bincount(at, minlength=len(self.words))
+        met[: len(self.met)] += self.met
+        self.met = met
+        ends = np.frombuffer(self.words.ends, np.int64) if len(at) else at
+        stop = ends[at]
+        first = np.where(at > 0, ends[at - 1], 0)
         to = np.concatenate([[0], np.cumsum(stop - first)])
         flat = np.frombuffer(self.words.ids, np.uint32)[np.repeat(first - to[:-1], stop - first) + np.arange(to[-1])] if to[-1] else np.zeros(0, np.uint32)
         del ends  # else the array could not grow
@@ -204,6 +221,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, en
                 some = batch.slice(at, 256)
                 ids = tokens.many([t or "" for t in some.column(1).to_pylist()])
                 yield rows(p for doc, own in zip(some.column(0).to_pylist(), ids) for p in packer.add(doc, np.concatenate([own, end])))
+        tokens.forget()
         yield rows(packer.close())
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, SCHEMA)
