@@ -2,10 +2,12 @@
 
 A line's key is the line without white space at its ends and with A-Z in lower case; a key counts if it has
 ``min_chars`` characters. Keys found in ``min_docs`` documents lose all their lines but those of the largest doc_id
-that holds them. Only 128-bit hashes of keys travel: pre-aggregated once to find the common keys and their holders, then
-range-partitioned with their documents and positions and sorted, so that each task streams a key's occurrences in
-order, holder first. The result is, for each document, a compressed bitmap of the lines to drop; texts are not moved to
-find it. A very common key is one row per task in the first step and is split by the planner or by range in the second.
+that holds them. Only 128-bit hashes of keys travel. They are pre-aggregated, one row a key and task, to find the common
+keys and their holders; the occurrences of common keys are then range-partitioned by hash, document (largest first) and
+position and sorted within, so that a task streams each key's occurrences with the holder's first; as the range goes
+on to document and position, a very common key spreads over many tasks, and each row carries its key's holder, so that
+no task needs to see the whole key. The result is, for each document, a compressed bitmap of the lines to drop; texts
+are not moved to find it.
 
 Defined results: a null or empty text is one empty line, which never has a key; repeated rows count as documents of
 their own, and rows that share the largest doc_id all keep their lines; rows whose doc_id is null count as documents
@@ -44,9 +46,13 @@ def common_keys(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def drop_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id and drops: array of (word, bits), bit b of word w set if line 64 w + b goes; words without a drop are left out."""
-    keys = common_keys(docs, min_docs)
+    # Read from a table of its own, the join has a plain exchange on either side, and a common line's rows can be split.
+    keys = cut(common_keys(docs, min_docs))
     each = docs.where("text is not null").select("doc_id", F.posexplode(F.split(ascii_lower(F.col("text")), "\n", -1)).alias("pos", "line"))
     found = _hashed(each, "line").join(keys, ["h1", "h2"], "inner")
+    # Hash ranges with a secondary sort: first occurrences (of the largest document) stream ahead of those that go.
+    ordered = ("h1", "h2", F.desc("doc_id"), "pos")
+    found = found.repartitionByRange(*ordered).sortWithinPartitions(*ordered)
     gone = found.where(~F.coalesce(F.col("doc_id") == F.col("holder"), F.col("doc_id").isNull() & F.col("holder").isNull()))
     dealt = gone.select("doc_id", F.expr("pos div 64").cast("int").alias("word"), F.expr("shiftleft(1L, pos % 64)").alias("bit"))
     bits = dealt.groupBy("doc_id", "word").agg(F.bit_or("bit").alias("bits"))
