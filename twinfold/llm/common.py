@@ -48,12 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def running_before(df: DataFrame, keys: list[str], order: list[Column], spread: Column, weight: Column, rows: int, name: str, per_bucket: int = 4096) -> DataFrame:
+def running_before(df: DataFrame, keys: list[str], order: list[Column], spread: Column, weight: Column, rows: int, name: str, attach: DataFrame | None = None, per_bucket: int = 4096) -> DataFrame:
     """Add ``name``: the sum of ``weight`` over the rows of the same keys that come earlier.
 
     The order is (bucket, order) with bucket = spread modulo rows / per_bucket, so that no task ever holds all
     rows of a hot key: rows are summed within their bucket, bucket totals are summed over the buckets of a key,
-    and the two parts are added. Keys may be null.
+    and the two parts are added. Keys may be null. ``attach`` has columns for each key: they reach the rows through the
+    bucket totals, so that no join puts a key's rows into one task.
     """
     buckets = max(1, -(-rows // per_bucket))
     dealt = df.withColumn("_bucket", F.pmod(spread, F.lit(buckets))).withColumn("_weight", weight.cast("long"))
@@ -62,6 +63,10 @@ def running_before(df: DataFrame, keys: list[str], order: list[Column], spread:
     totals = dealt.groupBy(*keys, "_bucket").agg(F.sum("_weight").alias("_total"))
     over = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_total").over(over), F.lit(0)).alias("_start"))
+    if attach is not None:
+        own = attach.withColumnsRenamed({k: f"_a{i}" for i, k in enumerate(keys)})
+        known = [starts[f"_k{i}"].eqNullSafe(own[f"_a{i}"]) for i in range(len(keys))]
+        starts = starts.join(own, known, "inner").drop(*(f"_a{i}" for i in range(len(keys))))
     same = [dealt[k].eqNullSafe(starts[f"_k{i}"]) for i, k in enumerate(keys)] + [dealt["_bucket"] == starts["_b"]]
     joined = dealt.join(starts, same, "inner")
     return joined.withColumn(name, F.col("_start") + F.col("_within")).drop("_bucket", "_weight", "_within", "_start", "_b", *(f"_k{i}" for i in range(len(keys))))

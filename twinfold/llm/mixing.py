@@ -92,9 +92,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, most: int = M
     # The seats beyond whole passes are a run of blocks that starts at a seeded one and may wrap around.
     plan = plan.withColumn("_passes", F.expr("_seats div _blocks")).withColumn("_rest", F.expr("_seats % _blocks") * block)
     plan = plan.withColumn("_from", F.pmod(seeded(F.coalesce(F.col("_source"), F.lit("null")), seed), F.col("_blocks")) * block)
-    plan = plan.withColumn("_to", F.col("_from") + F.col("_rest")).withColumn("_round", F.col("_blocks") * block)
-    placed = running_before(sizes, ["source"], [F.col("order"), F.col("doc_id"), F.col("size")], F.col("order"), F.col("size"), found["rows"], "start")
-    joined = placed.join(plan, placed["source"].eqNullSafe(plan["_source"]), "inner")
+    plan = plan.withColumnRenamed("_source", "source").withColumn("_to", F.col("_from") + F.col("_rest")).withColumn("_round", F.col("_blocks") * block)
+    joined = running_before(sizes, ["source"], [F.col("order"), F.col("doc_id"), F.col("size")], F.col("order"), F.col("size"), found["rows"], "start", attach=plan)
     end = F.col("start") + F.col("size")
     overlap = lambda a, b: F.greatest(F.least(end, b) - F.greatest(F.col("start"), a), F.lit(0))
     taken = F.col("_passes") * F.col("size") + overlap(F.col("_from"), F.col("_to")) + overlap(F.col("_from") - F.col("_round"), F.col("_to") - F.col("_round"))
