@@ -53,7 +53,7 @@ def excluded_kinds(spark, d):
 
 
 # Hyphens: every block's text is set in lines of three words; some lines are cut inside their last word.
-PRINTED = rf"""WITH base AS (SELECT doc_id, n AS block_no, list_filter(string_split({TRIMMED}, ' '), lambda w: w <> '') AS w FROM ({DOC_LINES}) WHERE {TRIMMED} <> '' AND n < 6),
+PRINTED = rf"""WITH base AS (SELECT doc_id, n AS block_no, list_filter(string_split({TRIMMED}, ' '), lambda w: w <> '') AS w FROM ({DOC_LINES}) WHERE {TRIMMED} <> ''),
 pl AS (SELECT doc_id, block_no, u.k AS line_no, array_to_string(w[u.k * 3 + 1 : u.k * 3 + 3], ' ') AS t, w[u.k * 3 + 4] AS nw FROM base, UNNEST(range(0, (len(w) + 2) // 3)) AS u(k)),
 cutl AS (SELECT *, (doc_id + block_no + line_no) % 5 = 0 AND nw IS NOT NULL AND regexp_matches(nw, '^\p{{L}}{{4,}}') AS c FROM pl),
 lines AS (SELECT doc_id, block_no, line_no, CASE WHEN lag(c) OVER o THEN t2 ELSE t END || CASE WHEN c THEN ' ' || nw[:2] || CASE WHEN doc_id % 2 = 0 THEN chr(173) ELSE '-' END ELSE '' END AS text
@@ -62,10 +62,12 @@ lines AS (SELECT doc_id, block_no, line_no, CASE WHEN lag(c) OVER o THEN t2 ELSE
 
 
 def printed(spark, d) -> DataFrame:
-    rows = documents(spark, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("block_no", "line")).where("block_no < 6")
+    rows = documents(spark, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("block_no", "line")).withColumn("block_no", F.col("block_no").cast("long"))
+    # Dealt out by document before it is cut up: windows over lines and what is counted by document need no other exchange.
+    rows = rows.repartition("doc_id")
     words = F.filter(F.split(F.btrim(F.regexp_replace("line", rf"(?U){T.SPACE}+", " ")), " "), lambda w: w != "")
     rows = rows.withColumn("w", words).where("size(w) > 0")
-    each = rows.select("doc_id", F.col("block_no").cast("long").alias("block_no"), "w", F.explode(F.sequence(F.lit(0), F.expr("(size(w) + 2) div 3 - 1").cast("int"))).alias("line_no"))
+    each = rows.select("doc_id", "block_no", "w", F.explode(F.sequence(F.lit(0), F.expr("(size(w) + 2) div 3 - 1").cast("int"))).alias("line_no"))
     each = each.select("doc_id", "block_no", F.col("line_no").cast("long").alias("line_no"), F.array_join(F.slice("w", F.col("line_no") * 3 + 1, F.lit(3)), " ").alias("t"), F.get("w", F.col("line_no") * 3 + 3).alias("nw"))
     cut = F.coalesce(((F.col("doc_id") + F.col("block_no") + F.col("line_no")) % 5 == 0) & F.col("nw").rlike(r"^\p{L}{4,}"), F.lit(False))
     each = each.withColumn("c", cut)
