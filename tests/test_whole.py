@@ -68,3 +68,42 @@ def test_lexicon_reads_every_line(spark, tmp_path):
     brute = {(d, w) for d in words for w in words[d]}
     assert {(d, "linel") for d in (10, 11)} <= brute
     assert {(r.doc_id, r.word) for r in QUERIES["dehyphenate_lexicon"](spark, folder).collect()} == brute == set(sql("dehyphenate_lexicon"))
+
+
+def rejoined(lines):
+    """Blocks with their breaks taken back: by soft hyphens, by the document's own spelling, by particles."""
+    words, pairs = spelling(lines)
+    soft = {doc for (doc, _), block in lines.items() if any(t.endswith("\xad") for t in block)}
+    out = {}
+    for (doc, block), ts in lines.items():
+        text = ""
+        for t, following in zip(ts, [*ts[1:], None]):
+            a, b = re.search(f"({LETTERS}+)-$", t), following is not None and re.match(f"{LETTERS}+", following)
+            if following is None:
+                text += t
+            elif t.endswith("\xad"):
+                text += t[:-1]
+            elif not a:
+                text += t + " "
+            else:
+                one, two = a[1].lower(), b[0].lower() if b else ""
+                known = one + two in words[doc] if doc in soft else two not in T.PARTICLES
+                text += t[:-1] if two and (one, two) not in pairs[doc] and known else t
+        if ts:
+            out[doc, block] = text.replace("\xad", "")
+    return out
+
+
+def test_breaks_of_every_document(spark, tmp_path):
+    particle, spelt = sorted(T.PARTICLES)[0], "one two well-known three four five"
+    kept = "\n".join([f"first second third- {particle} more words here", f"and so well- known to everybody hereabouts", spelt, "one two third- rateable goods are sold"])
+    rows = [*LONG, (3, kept), (4, kept + "\nsoft\xad hyphens in here"), (5, kept), (6, kept.replace("third- ", "third-\xad "))]
+    lines = printed(rows)
+    hard = {(d, b) for (d, b), ts in lines.items() if any(re.search(LETTERS + "-$", t) for t in ts[:-1])}
+    assert {d for d, _ in hard} >= {3, 4, 5, 11}
+    folder, sql = documents(spark, tmp_path, rows)
+    brute = rejoined(lines)
+    got = {(r.doc_id, r.block_no): r.text for r in QUERIES["dehyphenate_soft"](spark, folder).collect()}
+    assert got == brute == {(d, b): t for d, b, t in sql("dehyphenate_soft")}
+    assert {d for d, _ in got} == {d for d, _ in rows}
+    assert "well-known to" in got[3, 1] and f"third-{particle}" in got[3, 0] and "thirdrateable" in got[5, 3]

@@ -88,11 +88,16 @@ def dehyphenate_lexicon(spark, d):
     return ingest.lexicon(printed(spark, d))[0]
 
 
-@query(PRINTED + r"""one AS (SELECT doc_id, block_no, string_agg(trim(text), chr(10) ORDER BY line_no) AS t FROM lines GROUP BY ALL)
-SELECT doc_id, block_no, replace(replace(replace(t, chr(173) || chr(10), ''), chr(10), ' '), chr(173), '') AS text FROM one WHERE doc_id % 2 = 0""", library=False)
+@query(PRINTED + LEXICON + rf""", pp AS (SELECT doc_id, regexp_extract_all(lower(CASE WHEN ends THEN regexp_replace(h, '\p{{L}}+(-\p{{L}}+)*[-\x{{AD}}]$', '') ELSE h END), '\p{{L}}+(?:-\p{{L}}+)+') AS chains FROM (SELECT *, CASE WHEN aft THEN regexp_replace(trim(text), '^\p{{L}}+(-\p{{L}}+)*', '') ELSE trim(text) END AS h FROM e)),
+pairs AS (SELECT DISTINCT doc_id, p[i] AS a, p[i + 1] AS b FROM (SELECT doc_id, p, unnest(range(1, len(p))) AS i FROM (SELECT doc_id, string_split(unnest(chains), '-') AS p FROM pp))),
+books AS (SELECT doc_id, bool_or(ends_with(trim(text), chr(173))) AS soft FROM lines GROUP BY doc_id),
+hy AS (SELECT doc_id, block_no, line_no, trim(text) AS t, lead(trim(text)) OVER (PARTITION BY doc_id, block_no ORDER BY line_no) AS nx FROM lines),
+ab AS (SELECT *, nx IS NOT NULL AND regexp_matches(t, '\p{{L}}-$') AS hard, lower(regexp_extract(t, '(\p{{L}}+)-$', 1)) AS a, lower(regexp_extract(nx, '^\p{{L}}+')) AS b FROM hy),
+pc AS (SELECT doc_id, block_no, line_no, CASE WHEN nx IS NULL THEN t WHEN ends_with(t, chr(173)) THEN t[:-2] WHEN NOT hard THEN t || ' '
+  WHEN b <> '' AND (doc_id, a, b) NOT IN (SELECT (doc_id, a, b) FROM pairs) AND CASE WHEN soft THEN (doc_id, a || b) IN (SELECT (doc_id, word) FROM words) ELSE b NOT IN ({', '.join(f"'{w}'" for w in sorted(T.PARTICLES))}) END THEN t[:-2] ELSE t END AS piece FROM ab JOIN books USING (doc_id))
+SELECT doc_id, block_no, replace(string_agg(piece, '' ORDER BY line_no), chr(173), '') AS text FROM pc GROUP BY ALL""", library=False)
 def dehyphenate_soft(spark, d):
-    lines = printed(spark, d).where("doc_id % 2 = 0").withColumn("text", F.regexp_replace("text", r"(\p{L})-$", "$1."))
-    return ingest.dehyphenated(lines)
+    return ingest.dehyphenated(printed(spark, d))
 
 
 # Glyphs: some letters become private-use characters.
