@@ -107,3 +107,13 @@ def test_breaks_of_every_document(spark, tmp_path):
     assert got == brute == {(d, b): t for d, b, t in sql("dehyphenate_soft")}
     assert {d for d, _ in got} == {d for d, _ in rows}
     assert "well-known to" in got[3, 1] and f"third-{particle}" in got[3, 0] and "thirdrateable" in got[5, 3]
+
+
+def test_ligatures_of_every_line(spark, tmp_path):
+    rows = [(1, "no gaps here\nThe final flower of five\nchef in love"), (2, "first\n\nThis finds chef and Th at"), (3, "The flag")]
+    folder, sql = documents(spark, tmp_path, rows)
+    lines = [line for _, text in rows for line in text.split("\n")]
+    slips = sum(len(re.findall(rf"(?:fi|fl|Th)(?={LETTERS})", line)) for line in lines)
+    real = sum(len(re.findall(rf"(?<=f) (?={LETTERS})|(?<=Th) (?={LETTERS})", line)) for line in lines)
+    brute = {(False, slips), (True, real)}
+    assert {(r.real, r.n) for r in QUERIES["ligature_score"](spark, folder).collect()} == brute == set(sql("ligature_score"))

@@ -192,11 +192,10 @@ def layout_blocks(spark, d):
     return layout.assembled(layout.classified(*paged(spark, d))).select("doc_id", "page", "line_no", "kind", "block_no")
 
 
-# Ligatures: the first line of a text, with a space put after fi, fl and Th inside words.
-@query(r"""WITH b AS (SELECT split_part(text, chr(10), 1) AS t FROM documents)
+# Ligatures: every line of a text, with a space put after fi, fl and Th inside words.
+@query(r"""WITH b AS (SELECT unnest(string_split(text, chr(10))) AS t FROM documents)
 SELECT real, n FROM (SELECT false AS real, sum(len(regexp_extract_all(t, '(fi|fl|Th)\p{L}')))::BIGINT AS n FROM b UNION ALL SELECT true, sum(len(list_filter(range(1, len(w)), lambda i: regexp_matches(w[i], '(f|fi|fl|Th)$') AND regexp_matches(w[i + 1], '^\p{L}'))))::BIGINT FROM (SELECT string_split(t, ' ') AS w FROM b)) WHERE n > 0""", library=False)
 def ligature_score(spark, d):
-    first = F.split("text", "\n").getItem(0)
-    rows = documents(spark, d).select("doc_id", first.alias("corrected")).withColumn("original", F.regexp_replace("corrected", r"(fi|fl|Th)(?=\p{L})", "$1 "))
-    segs = rows.select(F.col("doc_id").alias("project_id"), F.lit("source").alias("side"), F.lit(0).cast("long").alias("pos"), "original", "corrected")
+    rows = documents(spark, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "corrected")).withColumn("original", F.regexp_replace("corrected", r"(fi|fl|Th)(?=\p{L})", "$1 "))
+    segs = rows.select(F.col("doc_id").alias("project_id"), F.lit("source").alias("side"), F.col("pos").cast("long").alias("pos"), "original", "corrected")
     return quality.ligature_gaps(segs).groupBy("real").agg(F.count(F.lit(1)).alias("n"))
