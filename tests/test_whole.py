@@ -117,3 +117,27 @@ def test_ligatures_of_every_line(spark, tmp_path):
     real = sum(len(re.findall(rf"(?<=f) (?={LETTERS})|(?<=Th) (?={LETTERS})", line)) for line in lines)
     brute = {(False, slips), (True, real)}
     assert {(r.real, r.n) for r in QUERIES["ligature_score"](spark, folder).collect()} == brute == set(sql("ligature_score"))
+
+
+def test_all_blocks_and_beads_of_a_book(spark, tmp_path):
+    """Two excluded blocks at the start and two inside beads that span them; no row is left out."""
+    turns = [(1, 0, "system", "First rule\nSecond rule. It goes on"), (1, 1, "user", "One here"), (1, 2, "system", "Third rule"), (1, 3, "user", "Two here\nThree here"), (1, 4, "system", "Fourth rule"), (1, 5, "user", "Four here\nFive here"), (1, 6, "assistant", "Un ici\nDeux ici\nTrois ici\nQuatre ici")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    run = lambda name: [r.asDict() for r in QUERIES[name](spark, str(tmp_path)).collect()]
+
+    def sql(name):
+        found = c.execute(ORACLES[name])
+        return [dict(zip([d[0] for d in found.description], r)) for r in found.fetchall()]
+
+    key = lambda r: sorted(r.items())
+    for name in ("include_block", "load_blocks", "append_beads", "renumber"):
+        assert sorted(run(name), key=key) == sorted(sql(name), key=key)
+    source = {(r["block_pos"], r["seg_no"]): (r["excluded"], r["bead_pos"]) for r in run("include_block") if r["side"] == "source"}
+    k = 1 / 4096
+    beads = {1: -1 + k, 2: -1 + 2 * k, 3: 0.0, 4: 0.0, 5: 0.0, 6: 1.0, 7: 1.0, 8: 1.0, 9: 2.0}
+    assert source == {(b, s): (False, at) for b, at in beads.items() for s in range(2 if b == 2 else 1)}
+    assert [r["ord"] for r in sorted(run("load_blocks"), key=lambda r: (r["side"], r["block_pos"]))] == [n * 1024 for n in range(9)] + [n * 1024 for n in range(4)]
+    assert sorted(r["ord"] for r in run("append_beads")) == [(3 + n) * 1024 for n in range(1, 5)]
+    assert sorted((r["bead_pos"], r["ord"]) for r in run("renumber")) == [(n, n * 1024) for n in range(4)]

@@ -10,7 +10,7 @@ from ..operators import align, edits, history, quality
 from ..operators import levels as L
 from ..operators import search
 from ..sources.testbed import Library
-from .queries import ORACLES, UNITS, query
+from .queries import UNITS, query
 
 KEYS = ["project_id", "side", "block_pos", "seg_no"]
 
@@ -139,16 +139,12 @@ def exclude_block_beads(lib):
     return edits.blocks_excluded(segs(lib), lib.beads, blocks)[1].select("project_id", "bead_pos", "confidence", "method", "review_level")
 
 
-@query("""SELECT project_id, side, block_pos, seg_no, false AS excluded, CASE WHEN excluded THEN -1 + 1 / 4096.0::DOUBLE ELSE bead_pos::DOUBLE END AS bead_pos FROM zipped""")
+@query(""", x AS (SELECT *, last_value(bead_pos IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bf, first_value(bead_pos IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS af FROM zipped WINDOW w AS (PARTITION BY project_id, side ORDER BY block_pos, seg_no)),
+y AS (SELECT *, excluded AND coalesce(bf = af, false) AS shares FROM x)
+SELECT project_id, side, block_pos, seg_no, false AS excluded, CASE WHEN shares THEN bf::DOUBLE WHEN excluded THEN coalesce(bf, -1) + dense_rank() OVER (PARTITION BY project_id, excluded, shares, coalesce(bf, -1) ORDER BY side, block_pos) / 4096.0::DOUBLE ELSE bead_pos::DOUBLE END AS bead_pos FROM y""")
 def include_block(lib):
-    blocks = lib.blocks.where("excluded").select("project_id", "side", "block_pos").withColumn("_n", F.row_number().over(Window.partitionBy("project_id").orderBy("block_pos"))).where("_n = 1").drop("_n")
-    first = lib.segments.where("excluded").groupBy("project_id").agg(F.min("block_pos").alias("_b"))
-    one = segs(lib).join(first, "project_id", "left").where("not excluded or block_pos = _b").drop("_b")
-    return long_keys(edits.blocks_included(one, lib.beads, blocks)[0].select(*KEYS, "excluded", "bead_pos"))
-
-
-FIRST_EXCLUDED = "NOT excluded OR block_pos = (SELECT min(block_pos) FROM zipped x WHERE x.project_id = zipped.project_id AND x.excluded)"
-ORACLES["include_block"] += f" WHERE {FIRST_EXCLUDED}"
+    blocks = lib.blocks.where("excluded").select("project_id", "side", "block_pos")
+    return long_keys(edits.blocks_included(segs(lib), lib.beads, blocks)[0].select(*KEYS, "excluded", "bead_pos"))
 
 
 @query("""SELECT DISTINCT z.project_id, z.side, z.block_pos FROM zipped z JOIN (SELECT project_id, side, max(block_pos) AS b FROM zipped WHERE bead_pos = 1 + project_id % 3 AND side = CASE WHEN project_id % 2 = 0 THEN 'source' ELSE 'target' END GROUP BY ALL) c
@@ -174,9 +170,11 @@ def replace_run_refusals(lib):
     return edits.refusals_of_run(old, new)
 
 
-@query("SELECT project_id, bead_pos, (row_number() OVER (PARTITION BY project_id ORDER BY bead_pos) - 1) * 1024 AS ord FROM beads WHERE bead_pos % 3 <> 1")
+@query("SELECT project_id, bead_pos, (row_number() OVER (PARTITION BY project_id ORDER BY bead_pos) - 1) * 1024 AS ord FROM beads")
 def renumber(lib):
-    return edits.renumber(lib.beads.where("bead_pos % 3 <> 1"), ["project_id"], "bead_pos").select("project_id", "bead_pos", F.col("ord").cast("long").alias("ord"))
+    # Places with gaps of one and five.
+    placed = lib.beads.withColumn("at", F.col("bead_pos") * 3 + F.col("bead_pos") % 2 * 2)
+    return edits.renumber(placed, ["project_id"], "at").select("project_id", "bead_pos", F.col("ord").cast("long").alias("ord"))
 
 
 @query("SELECT project_id, bead_pos, CASE WHEN n IS NULL THEN bead_pos * 3 + 1024 WHEN n * 3 - bead_pos * 3 > 1 THEN (n * 3 + bead_pos * 3) // 2 END AS mid FROM (SELECT *, lead(bead_pos) OVER (PARTITION BY project_id ORDER BY bead_pos) AS n FROM beads)")

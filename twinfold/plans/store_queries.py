@@ -10,14 +10,14 @@ from .correction_queries import KEYS, long_keys, segs
 from .queries import documents, query
 
 
-@query("SELECT project_id, side, block_pos, (row_number() OVER (PARTITION BY project_id, side ORDER BY block_pos) - 1) * 1024 AS ord FROM blocks WHERE block_pos % 3 <> 0")
+@query("SELECT project_id, side, block_pos, (row_number() OVER (PARTITION BY project_id, side ORDER BY block_pos) - 1) * 1024 AS ord FROM blocks")
 def load_blocks(lib: Library):
-    return store.loaded(lib.blocks.where("block_pos % 3 <> 0").select("project_id", "side", "block_pos", F.col("block_pos").alias("block_no"))).drop("block_no")
+    return store.loaded(lib.blocks.select("project_id", "side", "block_pos", (F.col("block_pos") * 3 + F.col("block_pos") % 2 * 2).alias("block_no"))).drop("block_no")
 
 
-@query("SELECT b.project_id, b.bead_pos AS n, (SELECT max(bead_pos) FROM beads x WHERE x.project_id = b.project_id) * 1024 + row_number() OVER (PARTITION BY project_id ORDER BY bead_pos) * 1024 AS ord FROM beads b WHERE bead_pos % 2 = 1")
+@query("SELECT b.project_id, b.bead_pos AS n, (SELECT max(bead_pos) FROM beads x WHERE x.project_id = b.project_id) * 1024 + row_number() OVER (PARTITION BY project_id ORDER BY bead_pos) * 1024 AS ord FROM beads b")
 def append_beads(lib: Library):
-    return store.appended(lib.beads.select("project_id", (F.col("bead_pos") * 1024).alias("ord")), lib.beads.where("bead_pos % 2 = 1").select("project_id", F.col("bead_pos").alias("n")))
+    return store.appended(lib.beads.select("project_id", (F.col("bead_pos") * 1024).alias("ord")), lib.beads.select("project_id", F.col("bead_pos").alias("n")))
 
 
 @query("SELECT project_id, bead_pos FROM beads WHERE project_id % 3 <> 0")
