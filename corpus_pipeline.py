@@ -42,11 +42,18 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it, to the nearest whole; a run of blocks cuts two of a source."""
-    mixed, _ = mixing.mix(docs)
-    taken = mixed.where("doc_id is not null").groupBy(F.col("doc_id").alias("_doc")).agg(F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias("copies")).where("copies > 0")
+    """Each document as many times as the mix takes it, to the nearest whole; a run of blocks cuts two of a source.
+
+    Rows without doc_id are documents of their own: nothing names them, so they travel through the mix themselves.
+    """
+    nameless = F.when(F.col("doc_id").isNull(), F.struct("text", "lang", "n_chars"))
+    mixed, _ = mixing.mix(docs.select(*COLUMNS, nameless.alias("_row")), carry=("_row",))
+    copies = F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias("copies")
+    taken = mixed.where("doc_id is not null").groupBy(F.col("doc_id").alias("_doc")).agg(copies).where("copies > 0")
     rows = docs.select(*COLUMNS)
-    return rows.join(taken, rows["doc_id"] == taken["_doc"]).select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    named = rows.join(taken, rows["doc_id"] == taken["_doc"]).select(*COLUMNS, "copies")
+    alone = mixed.where("doc_id is null").select("doc_id", "_row.text", "_row.lang", "source", "_row.n_chars", F.round(F.try_divide("taken", "size")).cast("int").alias("copies")).where("copies > 0")
+    return named.unionByName(alone).select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,12 +70,12 @@ def seats(sources: DataFrame, houses: DataFrame) -> DataFrame:
     return a.join(b, same, "left").select("a.source", "a.house", (F.col("a.least") + F.coalesce("b.more", F.lit(0))).alias("seats"))
 
 
-def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, most: int = MOST, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(documents, quotas): doc_id, source, size, source_size, target and taken of every row; source, shard, blocks.
+def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, most: int = MOST, seed: int = SEED, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(documents, quotas): doc_id, source, size, source_size, target, taken and carry of every row; source, shard, blocks.
 
     taken counts the words that the mix takes from a document, repeats included.
     """
-    text = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+    text = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), *carry)
     sizes = cut(text.withColumn("order", seeded(F.col("doc_id"), seed)))
     found = sizes.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
     sources = cut(targets(sizes, most))
@@ -97,4 +97,4 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, most: int = M
     end = F.col("start") + F.col("size")
     overlap = lambda a, b: F.greatest(F.least(end, b) - F.greatest(F.col("start"), a), F.lit(0))
     taken = F.col("_passes") * F.col("size") + overlap(F.col("_from"), F.col("_to")) + overlap(F.col("_from") - F.col("_round"), F.col("_to") - F.col("_round"))
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken")), quotas
+    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *carry), quotas
