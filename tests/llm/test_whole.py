@@ -1,11 +1,13 @@
-"""Rows that earlier versions lost: documents without doc_id in the pipeline."""
+"""Rows that earlier versions lost: documents without doc_id in the pipeline, rows of two blocks of one size in the join."""
 
 from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
-from twinfold.llm import mixing
+from twinfold.llm import mixing, near_join
 
 from .data import DOCS, rows
 
@@ -32,3 +34,10 @@ def test_pipeline_keeps_rows_without_id(spark, tmp_path):
     assert alone and got == +expected
     assert {(r.text, r.lang, r.source) for r in alone} <= {(r.text, r.lang, r.source) for r in out[2] if r.doc_id is None}
     assert sum(r.doc_id is None and r.start == 0 for r in out[4]) == len(alone)
+
+
+def test_blocks_of_one_size_are_joined_whole():
+    """Row 0 is near all of the right block; row 1 is near row 3 alone and not near row 0."""
+    values = np.array([[1, 1, 1, 1, 1], [1, 1, 3, 2, 1], [1, 1, 1, 1, 2], [1, 1, 1, 2, 1]], np.uint16)
+    found = near_join.join_bucket(np.array([0, 1]), np.array([2, 3]), values, [(5, 4)])
+    assert {found.root(x) for x in range(4)} == {0}

@@ -117,8 +117,9 @@ def survivors(one: np.ndarray, others: np.ndarray, steps: list[tuple[int, int]])
     return live
 
 
-def join_bucket(left: np.ndarray, right: np.ndarray, values: np.ndarray, steps: list[tuple[int, int]]) -> Union:
-    """Union-find over the rows of values: each of left is compared with those of right that it isn't joined to yet."""
+def join_bucket(left: np.ndarray, right: np.ndarray, values: np.ndarray, steps: list[tuple[int, int]], same: bool = False) -> Union:
+    """Union-find over the rows of values: each of left is compared with those of right that it isn't joined to yet; same
+    says that both are one block, which is done once all its rows are joined."""
     found = Union(len(values))
     for i in left.tolist():
         # Rows already joined with i through earlier ones need no comparison.
@@ -126,7 +127,7 @@ def join_bucket(left: np.ndarray, right: np.ndarray, values: np.ndarray, steps:
         rest = rest[rest != i]
         for j in rest[survivors(values[i], values[rest], steps)].tolist():
             found.join(i, j)
-        if len({found.root(x) for x in right.tolist()} | {found.root(i)}) == 1 and len(left) == len(right):
+        if same and len({found.root(x) for x in right.tolist()}) == 1:
             break
     return found
 
@@ -184,7 +185,7 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
             values = np.frombuffer(b"".join(group["values"].to_pylist()), np.uint16).reshape(len(doc), -1)[order]
             left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
             if len(left) and len(right) and len(doc) > 1:
-                found = join_bucket(left, right, values, steps)
+                found = join_bucket(left, right, values, steps, bool(a == b))
                 roots = np.array([found.root(x) for x in range(len(doc))])
                 at = np.flatnonzero(roots != np.arange(len(doc)))
                 yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(doc[roots[at]])], names=["u", "v"])
