@@ -189,6 +189,17 @@ def test_line_dedup_many_lines(spark):
     assert got == {0: (1000, 666), 1: (1000, 666), 2: (1000, 666), 3: (1000, 0)}
 
 
+def test_line_dedup_of_shared_ids(spark):
+    """Texts under one doc_id, or under none, lose their own lines only; clashing columns do not matter."""
+    common = "A line that is common to many documents"
+    made = [(1, f"{common}\nkeep this"), (1, "a line of this text alone\nother"), (2, common), (3, f"x\n{common}"), (None, f"{common}\nfirst without a name"), (None, "one more text\nthat has no name at all"), (1, f"{common}\nkeep this")]
+    docs = spark.createDataFrame(made, "doc_id long, text string").selectExpr("*", "'clash' AS drops", "1 AS n_lines", "2 AS n_dropped", "'' AS kept_text", "3 AS t1", "4 AS carried", "5 AS m_doc")
+    got = line_dedup.apply_bitmaps(docs, line_dedup.drop_bitmaps(docs), ("m_doc",))
+    assert got.columns == ["doc_id", "text", "m_doc", "kept_text", "n_lines", "n_dropped"]
+    want = [(1, "keep this", 1), (1, "a line of this text alone\nother", 0), (2, "", 1), (3, f"x\n{common}", 0), (None, "first without a name", 1), (None, "one more text\nthat has no name at all", 0), (1, "keep this", 1)]
+    assert sorted((str(r.doc_id), r.kept_text, r.n_dropped) for r in got.collect()) == sorted((str(d), *x) for d, *x in want)
+
+
 def test_near_join(docs, data):
     sets, by = {}, defaultdict(list)
     for d, text, *_ in data:
@@ -259,6 +270,42 @@ def test_sharding_balance(spark):
     assert len(load) == 12 and max(load) / min(load) < 1.05
 
 
+def brute_tree(groups: list[tuple], shards: int, first: int = 0, whole: list[int] | None = None) -> dict:
+    """Shard of each group (weight, (size, id, hash), key): exact weighted quantiles along the widest dimension."""
+    if shards == 1 or not groups:
+        return {key: first for _, _, key in groups}
+    spans = [max(at[d] for _, at, _ in groups) - min(at[d] for _, at, _ in groups) for d in range(3)]
+    whole = whole or [max(1, x) for x in spans]
+    d = max(range(3), key=lambda k: spans[k] / whole[k])
+    half = shards // 2
+    total, goal = 0, sum(w for w, *_ in groups) * half / shards
+    for v in sorted({at[d] for _, at, _ in groups}):
+        here = sum(w for w, at, _ in groups if at[d] == v)
+        if total + here >= goal or v == max(at[d] for _, at, _ in groups):
+            break
+        total += here
+    at = v if abs(total + here - goal) <= abs(total - goal) else v - 1
+    left, right = [g for g in groups if g[1][d] <= at], [g for g in groups if g[1][d] > at]
+    return brute_tree(left, half, first, whole) | brute_tree(right, shards - half, first + half, whole)
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_sharding_equals_brute_tree(spark, wide):
+    spread = F.xxhash64("id") if wide else F.col("id")
+    made = spark.range(700).select(spread.alias("doc_id"), F.concat_ws(" ", F.repeat(F.lit("ab"), F.pmod(F.xxhash64("id"), F.lit(97)).cast("int")), (F.col("id") % 650).cast("string")).alias("text"), F.lit("clash").alias("node"), F.lit("clash").alias("weight"), F.lit("clash").alias("shard"))
+    made = made.unionByName(spark.createDataFrame([(None, "no id", "", "", ""), (-(1 << 63), "least", "", "", ""), ((1 << 63) - 1 if wide else 9, None, "", "", "")], "doc_id long, text string, node string, weight string, shard string"))
+    got = {(r.doc_id, r.g1): r for r in sharding.shard(made, shards=11, slack=0).collect()}
+    by: dict = {}
+    for (doc, g1), r in got.items():
+        weight, size, least = by.get(g1, (0, 0, None))
+        by[g1] = weight + r["size"], r["size"], doc if least is None else least if doc is None else min(least, doc)
+    ids = [0 if v[2] is None else v[2] for v in by.values()]
+    shift = max(0, (max(ids) - min(ids)).bit_length() - 62)
+    assert shift == 2
+    want = brute_tree([(w, (size, (least or 0) >> shift, g1 >> 24), g1) for g1, (w, size, least) in by.items()], 11)
+    assert len(got) == 703 and {g1: r.shard for (_, g1), r in got.items()} == want
+
+
 def test_packing(spark, docs, data):
     from tokenizers import Tokenizer
 
