@@ -6,6 +6,7 @@ import base64
 import hashlib
 import math
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -200,37 +201,55 @@ def test_line_dedup_of_shared_ids(spark):
     assert sorted((str(r.doc_id), r.kept_text, r.n_dropped) for r in got.collect()) == sorted((str(d), *x) for d, *x in want)
 
 
-def test_near_join(docs, data):
-    sets, by = {}, defaultdict(list)
-    for d, text, *_ in data:
+def brute_near(made: list[tuple]) -> list[tuple]:
+    """(doc_id, class_id, n_links) of every row; each is a document of its own."""
+    sets, by = [], defaultdict(list)
+    for _, text, *_ in made:
         w = WORD.findall(text or "")
-        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    for d in sets:
-        for e in sets:
-            if d < e and sets[d] and sets[e] and 5 * len(sets[d] & sets[e]) >= 4 * len(sets[d] | sets[e]):
-                by[d].append(e)
-                by[e].append(d)
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    for d, e in combinations(range(len(made)), 2):
+        if sets[d] and sets[e] and 5 * len(sets[d] & sets[e]) >= 4 * len(sets[d] | sets[e]):
+            by[d].append(e)
+            by[e].append(d)
     label = {}
-    for d in sorted(sets):
-        todo = [d]
+    for d in range(len(made)):
+        todo, members = [d], []
         while todo:
             u = todo.pop()
             if u not in label:
                 label[u] = d
+                members.append(u)
                 todo += by[u]
-    got = {r.doc_id: (r.class_id, r.n_links) for r in near_join.near_duplicates(docs).collect()}
-    assert got == {d: (label[d], len(by[d])) for d in sets}
-    assert sum(1 for d in by if by[d]) >= 6
+        least = min((made[u][0] for u in members if made[u][0] is not None), default=None)
+        label |= dict.fromkeys(members, least)
+    return [(row[0], label[d], len(by[d])) for d, row in enumerate(made)]
+
+
+def test_near_join(docs, data):
+    got = [(r.doc_id, r.class_id, r.n_links) for r in near_join.near_duplicates(docs).collect()]
+    assert sorted(got) == sorted(brute_near(data)) and sum(1 for *_, n in got if n) >= 6
+
+
+def test_near_join_of_shared_ids(spark):
+    """Rows that share a doc_id, or have none, are documents of their own; each class is named by one of its rows."""
+    a, b = (" ".join(f"{x}{i}" for i in range(90)) for x in "ab")
+    made = [(1, a), (1, b), (2, a), (3, b), (4, a + " word"), (7, "q"), (7, "q"), (None, a), (None, "of its own"), (None, None), (5, ""), (None, "of  its own")]
+    frame = spark.createDataFrame(made, "doc_id long, text string").selectExpr("*", "'clash' AS rep", "1 AS first", "2 AS t1", "3 AS cluster", "4 AS values")
+    found = near_join.near_duplicates(frame).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in found), key=repr) == sorted(brute_near(made), key=repr)
+    heads = {(r.p_doc, r.p_t1, r.p_t2) for r in found}
+    assert len(heads) == 6 and heads <= {(r.doc_id, r.t1, r.t2) for r in found}  # a, b, q, the text without id, and the two empty ones
 
 
 def test_near_join_in_blocks(spark, monkeypatch):
     base = [f"w{i}" for i in range(120)]
     made = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(40)] + [(100, " ".join(f"y{i}" for i in range(80)))]
     frame = spark.createDataFrame(made, "doc_id long, text string")
-    whole = sorted(map(tuple, near_join.near_duplicates(frame).collect()))
+    run = lambda: sorted(map(tuple, near_join.near_duplicates(frame).select("doc_id", "class_id", "copy_of", "n_links").collect()))
+    whole = run()
     monkeypatch.setattr(near_join, "BUCKET_ROWS", 7)
     monkeypatch.setattr(near_join, "CLUSTER_ROWS", 9)
-    assert sorted(map(tuple, near_join.near_duplicates(frame).collect())) == whole
+    assert run() == whole
     assert whole[0][1] == 0 and whole[0][3] == 39 and whole[-1][3] == 0
 
 
@@ -391,6 +410,6 @@ def test_null_ids(spark):
     assert quality_rules.judge(made).count() == 3
     assert mixing.mix(made)[0].count() == 3
     assert line_dedup.apply_bitmaps(made, line_dedup.drop_bitmaps(made)).count() == 3
-    assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in near_join.near_duplicates(made).collect()) == [("1", "1", 0), ("None", "None", 0), ("None", "None", 0)]
+    assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in near_join.near_duplicates(made).collect()) == [("1", "1", 1), ("None", "1", 1), ("None", "None", 0)]
     assert sharding.shard(made, shards=2).count() == 3
     assert packing.pack_documents(made, tokenizer("word_bpe_49k.json")).count() >= 3

@@ -28,6 +28,16 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+", -1), "")
 
 
+def text_key() -> list[Column]:
+    """Two hashes that name a row together with doc_id: rows equal in doc_id and text fare alike, all others are told apart."""
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), F.col("text")).alias("t2")]
+
+
+def same_row(a: DataFrame, b: DataFrame, prefix: str = "p_") -> Column:
+    """Rows of a (doc_id, t1, t2) and b (the same, with a prefix) that ``text_key`` does not tell apart; ids may be null."""
+    return a["doc_id"].eqNullSafe(b[f"{prefix}doc"]) & (a["t1"] == b[f"{prefix}t1"]) & (a["t2"] == b[f"{prefix}t2"])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder that the cluster names; in local mode alone a temporary one stands in where none is set."""
     context = spark.sparkContext

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, cut
+from .common import SPACE_CHARS, cut, same_row, text_key
 from .quality_rules import let
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -46,11 +46,6 @@ def common_keys(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return keys.where(F.col("docs") >= min_docs).select("h1", "h2", "holder")
 
 
-def text_key() -> list[Column]:
-    """Two hashes that, with doc_id, name a row: rows equal in doc_id and text lose the same lines, all others are told apart."""
-    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), F.col("text")).alias("t2")]
-
-
 def drop_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, t1, t2 (see ``text_key``) and drops: array of (word, bits), bit b of word w set if line 64 w + b goes; words without a drop are left out."""
     # Read from a table of its own, the join has a plain exchange on either side, and a common line's rows can be split.
@@ -74,8 +69,8 @@ def dropped_positions(drops: Column) -> Column:
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, the carried columns, kept_text, n_lines and n_dropped of every row; a text without drops is passed on as it is."""
     rows = docs.select("doc_id", "text", *text_key(), F.struct(*carry).alias("carried") if carry else F.lit(None).alias("carried"))
-    marked = bitmaps.select(F.col("doc_id").alias("m_doc"), F.col("t1").alias("m1"), F.col("t2").alias("m2"), "drops")
-    joined = rows.join(marked, rows["doc_id"].eqNullSafe(marked["m_doc"]) & (rows["t1"] == marked["m1"]) & (rows["t2"] == marked["m2"]), "left")
+    marked = bitmaps.select(F.col("doc_id").alias("p_doc"), F.col("t1").alias("p_t1"), F.col("t2").alias("p_t2"), "drops")
+    joined = rows.join(marked, same_row(rows, marked), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     positions = dropped_positions(F.col("drops"))
     both = F.struct(F.split(text, "\n", -1).alias("lines"), positions.alias("gone"))

@@ -12,9 +12,10 @@
 Copies of one text, however many, are one representative. Buckets and clusters beyond a block are dealt out as pairs
 of blocks, so that no task holds more than two; nothing is capped. Shingles are 64-bit hashes.
 
-Defined results: a text of one to four words has one shingle, all its words; a text without words has none and links
-to nothing; rows of equal doc_id are one document; a row without doc_id is returned with class_id null and no links;
-an empty table gives an empty result; other columns are ignored.
+Defined results: every row is a document of its own, whatever its doc_id; a text of one to four words has one shingle,
+all its words; a text without words has none, links to nothing and is a class of its own; class_id and copy_of are the
+least doc_id of the class and of the copies, null if none of them has one, so classes are told apart by the row that
+stands for them (``p_doc``, ``p_t1``, ``p_t2``); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, cut, split_words
+from .common import by_group, cut, same_row, split_words, text_key
 from .components import components
 
 SPAN, THRESHOLD = 5, (4, 5)
-BANDS, ROWS, STRETCH, TOLERANCE = 28, 5, 20, 1e-5
+BANDS, ROWS, STRETCH, TOLERANCE = 35, 4, 20, 1e-5
 BUCKET_ROWS, CLUSTER_ROWS, CLUSTER_SHINGLES = 4096, 2048, 4_000_000
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -133,7 +134,7 @@ def join_bucket(left: np.ndarray, right: np.ndarray, values: np.ndarray, steps:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2 (hash of the word sequence), grams (windows), values (16 bits of each MinHash), bands."""
+    """doc_id, t1, t2, k1, k2 (hash of the word sequence), grams (windows), values (16 bits of each MinHash), bands."""
     count = BANDS * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,34 +162,35 @@ def features(docs: DataFrame) -> DataFrame:
             k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2) if keys else np.zeros((0, 2), np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in bands])]).astype(np.int32)
             flat = np.concatenate(bands).view(np.int64) if bands else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(grams, pa.int64()), pa.array(values, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "k1", "k2", "grams", "values", "bands"])
+            made = [pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(grams, pa.int64()), pa.array(values, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *made], names=["doc_id", "t1", "t2", "k1", "k2", "grams", "values", "bands"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, k1 long, k2 long, grams long, values binary, bands array<long>")
+    return docs.select(docs["doc_id"].cast("long"), docs["text"], *text_key()).mapInArrow(run, "doc_id long, t1 long, t2 long, k1 long, k2 long, grams long, values binary, bands array<long>")
 
 
 def candidate_edges(reps: DataFrame) -> DataFrame:
-    """Edges (u, v) of candidate clusters among representatives (doc, values, bands)."""
+    """Edges (u, v) of candidate clusters among representatives (rep, values, bands)."""
     steps = least_matches(BANDS * ROWS, STRETCH, THRESHOLD[0] / THRESHOLD[1], TOLERANCE)
-    rows = reps.select("doc", F.explode("bands").alias("key"))
+    rows = reps.select("rep", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     inside = rows.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / BUCKET_ROWS).cast("int"))
     # Only representatives in a shared bucket need their MinHash values.
-    inside = inside.join(reps.select("doc", "values"), "doc")
-    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    pairs = dealt(inside.withColumn("own", own), "key").select("key", "pa", "pb", "own", "doc", "values")
+    inside = inside.join(reps.select("rep", "values"), "rep")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    pairs = dealt(inside.withColumn("own", own), "key").select("key", "pa", "pb", "own", "rep", "values")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, a, b), group in by_group(batches, 3):
-            own, doc = group["own"].to_numpy(), group["doc"].to_numpy()
-            order = np.argsort(doc, kind="stable")
-            own, doc = own[order], doc[order]
-            values = np.frombuffer(b"".join(group["values"].to_pylist()), np.uint16).reshape(len(doc), -1)[order]
+            own, rep = group["own"].to_numpy(), group["rep"].to_numpy()
+            order = np.argsort(rep, kind="stable")
+            own, rep = own[order], rep[order]
+            values = np.frombuffer(b"".join(group["values"].to_pylist()), np.uint16).reshape(len(rep), -1)[order]
             left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
-            if len(left) and len(right) and len(doc) > 1:
+            if len(left) and len(right) and len(rep) > 1:
                 found = join_bucket(left, right, values, steps, bool(a == b))
-                roots = np.array([found.root(x) for x in range(len(doc))])
-                at = np.flatnonzero(roots != np.arange(len(doc)))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(doc[roots[at]])], names=["u", "v"])
+                roots = np.array([found.root(x) for x in range(len(rep))])
+                at = np.flatnonzero(roots != np.arange(len(rep)))
+                yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[roots[at]])], names=["u", "v"])
 
     return pairs.repartition("key", "pa", "pb").sortWithinPartitions("key", "pa", "pb").mapInArrow(run, "u long, v long").where("u <> v")
 
@@ -217,56 +219,79 @@ def linked(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> Iter
 
 
 def verified(members: DataFrame) -> DataFrame:
-    """doc, root, link_docs for each block pair of clusters (cluster, pa, pb, own, doc, copies, text)."""
+    """rep, root, link_docs for each block pair of clusters (cluster, pa, pb, own, rep, copies, text).
+
+    A representative whose doc_id and text several rows share may come more than once; it counts once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for (_, a, b), group in by_group(batches, 3):
             if len(hashes) > 300_000:
                 hashes.clear()
-            own, doc, copies = (group[c].to_numpy() for c in ("own", "doc", "copies"))
-            grams = [np.unique(shingles(split_words(t), hashes)) for t in group["text"].to_pylist()]
-            order = np.argsort(doc, kind="stable")
-            own, doc, copies, grams = own[order], doc[order], copies[order], [grams[i] for i in order]
+            rep, once = np.unique(group["rep"].to_numpy(), return_index=True)
+            own, copies = (group[c].to_numpy()[once] for c in ("own", "copies"))
+            grams = [np.unique(shingles(split_words(t), hashes)) for t in group["text"].take(pa.array(once)).to_pylist()]
             left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
             if not len(left) or not len(right):
                 continue
-            found, links = Union(len(doc)), np.zeros(len(doc), np.int64)
+            found, links = Union(len(rep)), np.zeros(len(rep), np.int64)
             for i, js in linked(grams, left, right):
-                js = js[doc[js] != doc[i]]
+                js = js[js != i]
                 links[i] += copies[js].sum()
                 if a != b:
                     links[js] += copies[i]
                 for j in js.tolist():
                     found.join(i, j)
-            roots = np.array([found.root(x) for x in range(len(doc))])
+            roots = np.array([found.root(x) for x in range(len(rep))])
             at = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(doc[roots[at]]), pa.array(links[at])], names=["doc", "root", "link_docs"])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[roots[at]]), pa.array(links[at])], names=["rep", "root", "link_docs"])
+
+    dealt_out = members.select("cluster", "pa", "pb", "own", "rep", "copies", "text").repartition("cluster", "pa", "pb").sortWithinPartitions("cluster", "pa", "pb")
+    return dealt_out.mapInArrow(run, "rep long, root long, link_docs long")
 
-    dealt_out = members.select("cluster", "pa", "pb", "own", "doc", "copies", "text").repartition("cluster", "pa", "pb").sortWithinPartitions("cluster", "pa", "pb")
-    return dealt_out.mapInArrow(run, "doc long, root long, link_docs long")
+
+def representatives(found: DataFrame) -> DataFrame:
+    """One row for each different word sequence of ``features``: rep (its number), first (is its doc_id null, doc_id, t1, t2), copies and what its words decide.
+
+    Copies are summed before they travel, so a text of very many copies is one row of each task.
+    """
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc"), "t1", "t2")
+    decided = (F.first(c).alias(c) for c in ("grams", "values", "bands"))
+    classes = found.where("grams > 0").groupBy("k1", "k2").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"), *decided)
+    return cut(classes.withColumn("rep", F.monotonically_increasing_id()))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, copy_of, n_links of every row of docs.
+    """doc_id, t1, t2, class_id, copy_of, n_links and p_doc, p_t1, p_t2 of every row of docs.
 
     class_id is the least doc_id of the documents that links connect, copy_of the least doc_id with the same words in
-    the same order, n_links the number of other documents at the threshold or above, copies included.
+    the same order, n_links the number of other documents at the threshold or above, copies included. The p columns
+    name the row that stands for the class: the least of its rows by doc_id (nulls last), t1 and t2.
     """
     found = cut(features(docs))
-    usable = found.where("doc_id is not null and grams > 0")
-    classes = cut(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.count_distinct("doc_id").alias("copies")))
-    reps = usable.join(classes, ["k1", "k2"]).where("doc_id = doc").dropDuplicates(["k1", "k2"]).select("doc", "copies", "grams", "values", "bands")
-    reps = cut(reps)
-    clusters = components(candidate_edges(reps)).withColumnRenamed("label", "cluster")
-    sized = reps.select("doc", "copies", "grams").join(clusters.withColumnRenamed("node", "doc"), "doc")
+    reps = representatives(found)
+    clusters = components(candidate_edges(reps.select("rep", "values", "bands"))).withColumnsRenamed({"label": "cluster", "node": "rep"})
+    sized = reps.select("rep", "first", "copies", "grams").join(clusters, "rep")
     sizes = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CLUSTER_ROWS), F.ceil(F.sum("grams") / CLUSTER_SHINGLES)).cast("int").alias("blocks"))
-    placed = sized.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).select("cluster", "doc", "copies", "own", "blocks")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(placed, "doc")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own")
+    placed = sized.join(sizes, "cluster").select("cluster", "rep", "copies", own, "blocks", F.col("first.doc").alias("p_doc"), F.col("first.t1").alias("p_t1"), F.col("first.t2").alias("p_t2"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *text_key())
+    texts = rows.join(placed, same_row(rows, placed)).select("cluster", "rep", "copies", "own", "blocks", "text")
     checked = cut(verified(dealt(texts, "cluster")))
-    roots = components(checked.where("doc <> root").select(F.col("doc").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("doc"), "label")
-    links = checked.groupBy("doc").agg(F.sum("link_docs").alias("link_docs"))
-    each = classes.join(links, "doc", "left").join(roots, "doc", "left").select("k1", "k2", F.col("doc").alias("copy_of"), F.coalesce("label", "doc").alias("class_id"), (F.col("copies") - 1 + F.coalesce("link_docs", F.lit(0))).alias("n_links"))
-    base = found.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("grams") > 0), F.col("k1")).alias("k1"), "k2")
-    joined = base.join(each, ["k1", "k2"], "left")
-    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    linked_to = components(checked.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "rep")
+    links = checked.groupBy("rep").agg(F.sum("link_docs").alias("link_docs"))
+    named = reps.select("rep", "k1", "k2", "first", "copies").join(links, "rep", "left").join(linked_to, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    heads = named.groupBy("label").agg(F.min("first").alias("head"))
+    each = named.join(heads, "label").select("k1", "k2", F.col("first.doc").alias("copy_of"), "head", (F.col("copies") - 1 + F.coalesce("link_docs", F.lit(0))).alias("n_links"))
+    base = found.select("doc_id", "t1", "t2", "grams", F.when(F.col("grams") > 0, F.col("k1")).alias("k1"), "k2")
+    joined, alone = base.join(each, ["k1", "k2"], "left"), F.col("grams") == 0
+    return joined.select(
+        "doc_id", "t1", "t2",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc")).alias("p_doc"),
+        F.when(alone, F.col("t1")).otherwise(F.col("head.t1")).alias("p_t1"),
+        F.when(alone, F.col("t2")).otherwise(F.col("head.t2")).alias("p_t2"),
+    )

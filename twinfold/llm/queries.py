@@ -19,7 +19,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of", "n_links")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
