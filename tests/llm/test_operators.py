@@ -80,15 +80,52 @@ def test_mixing(docs, data):
     for s in sizes:
         assert math.isclose(target[s], want[s], rel_tol=1e-9)
         assert abs(taken[s] - want[s]) <= 24
-    assert {tuple(r) for r in got} == {tuple(r) for r in mixing.mix(docs, block=8, shards=4)[0].collect()}
-    assert all(r.blocks >= 0 for r in quotas.collect())
+    again, _ = mixing.mix(docs.repartition(5), block=8, shards=4)
+    assert Counter((r.doc_id, r.taken, str(r.parts)) for r in got) == Counter((r.doc_id, r.taken, str(r.parts)) for r in again.collect())
+
+
+@pytest.mark.parametrize("shards", [1, 4, 16])
+def test_quotas_decide_blocks(docs, shards):
+    """Each shard takes exactly its quota of whole blocks from a source (the stream's last block may be shorter)."""
+    block = 8
+    mixed, quotas = mixing.mix(docs, block=block, shards=shards)
+    taken, quota, size = Counter(), Counter(), {}
+    for r in mixed.collect():
+        assert r.taken == sum(p.taken for p in r.parts) and (r["size"] or not r["copies"]) and r["copies"] <= 3
+        size[r.source] = r.source_size
+        for p in r.parts:
+            taken[r.source, p.shard] += p.taken
+    for r in quotas.collect():
+        assert r.blocks >= 0
+        quota[r.source, r.shard] = r.blocks
+    assert set(taken) <= set(quota) and sum(quota.values()) == max(1, round(sum(size.values()) / block))
+    for key, blocks in quota.items():
+        short = -size[key[0]] % block  # what the last block lacks
+        assert taken[key] in {block * blocks - short * k for k in range(4)}
+    if shards == 16:
+        assert len({k for _, k in taken}) == 16
+
+
+def test_mixing_many_sources(spark):
+    """Targets against the definition where many sources are small; some fill up only after others."""
+    rng = np.random.default_rng(7)
+    made = [(f"h{i:03d}", int(n)) for i, n in enumerate(np.minimum(3000, rng.pareto(0.6, 120) * 5 + 1))]
+    got = {r.source: r for r in mixing.targets(spark.createDataFrame(made, "source string, size long")).collect()}
+    weight = {s: k % 3 + 1 for k, (s, _) in enumerate(made)}
+    cap = {s: 3 * n for s, n in made}
+    low, high = 0.0, 3e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(cap[s], mid * weight[s]) for s in cap) < sum(n for _, n in made) else (low, mid)
+    assert all(got[s].weight == weight[s] and math.isclose(got[s].target, min(cap[s], low * weight[s]), rel_tol=1e-9) for s in cap)
+    assert 0 < sum(got[s].target == cap[s] for s in cap) < len(cap)
 
 
 @pytest.mark.parametrize("house", [1, 7, 100, 12345])
 def test_sainte_lague(spark, house):
     targets = [("a", 5.0), ("b", 100.0), ("c", 31.5), (None, 0.0), ("d", 900.25)]
     made = spark.createDataFrame(targets, "source string, target double")
-    got = {r.source: r.seats for r in mixing.seats(made, F.array(F.lit(house).cast("long"))).collect()}
+    got = {r.source: r.seats for r in mixing.seats(made, [house]).collect()}
     won = Counter()
     for _ in range(house):
         best = max((s for s in targets), key=lambda s: (s[1] / (2 * won[s[0]] + 1), -ord((s[0] or "z")[0])))

@@ -6,7 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,25 +58,42 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def running_before(df: DataFrame, keys: list[str], order: list[Column], spread: Column, weight: Column, rows: int, name: str, attach: DataFrame | None = None, per_bucket: int = 4096) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], name: str, within: str | None = None) -> DataFrame:
+    """Add ``name``: a row's number, from 1, in an order (of the rows equal in ``within``, which is not null).
+
+    The rows are sorted over all tasks; how many come before a task's is summed from one row a task and group.
+    """
+    keys = [F.col(within)] if within else []
+    ordered = cut(df.orderBy(*keys, *order).withColumn("_at", F.monotonically_increasing_id()))  # task number and place
+    parts = ordered.groupBy(F.shiftright("_at", 33).alias("_task"), *keys).agg(F.min("_at").alias("_low"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("_task", *(k.alias("_within") for k in keys), (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_low") + 1).alias("_start"))
+    same = (F.shiftright(ordered["_at"], 33) == starts["_task"]) & (ordered[within] == starts["_within"] if within else F.lit(True))
+    return ordered.join(F.broadcast(starts), same).select(*df.columns, (F.col("_at") + F.col("_start")).alias(name))  # a row a task and group
+
+
+def running_before(df: DataFrame, keys: list[str], order: list[Column], spread: Column, weight: Column, rows: int, name: str, attach: DataFrame | None = None, narrow: Callable[[Column, Column], dict[str, Column]] | None = None, per_bucket: int = 4096) -> DataFrame:
     """Add ``name``: the sum of ``weight`` over the rows of the same keys that come earlier.
 
     The order is (bucket, order) with bucket = spread modulo rows / per_bucket, so that no task ever holds all
     rows of a hot key: rows are summed within their bucket, bucket totals are summed over the buckets of a key,
     and the two parts are added. Keys may be null. ``attach`` has columns for each key: they reach the rows through the
-    bucket totals, so that no join puts a key's rows into one task.
+    bucket totals, so that no join puts a key's rows into one task; ``narrow`` may replace some of them by what a
+    bucket needs, given the sums before and after it.
     """
     buckets = max(1, -(-rows // per_bucket))
     dealt = df.withColumn("_bucket", F.pmod(spread, F.lit(buckets))).withColumn("_weight", weight.cast("long"))
     within = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    dealt = dealt.withColumn("_within", F.coalesce(F.sum("_weight").over(within), F.lit(0)))
     totals = dealt.groupBy(*keys, "_bucket").agg(F.sum("_weight").alias("_total"))
     over = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_total").over(over), F.lit(0)).alias("_start"))
+    starts = totals.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_bucket").alias("_b"), "_total", F.coalesce(F.sum("_total").over(over), F.lit(0)).alias("_start"))
     if attach is not None:
         own = attach.withColumnsRenamed({k: f"_a{i}" for i, k in enumerate(keys)})
         known = [starts[f"_k{i}"].eqNullSafe(own[f"_a{i}"]) for i in range(len(keys))]
         starts = starts.join(own, known, "inner").drop(*(f"_a{i}" for i in range(len(keys))))
+        starts = starts.withColumns(narrow(F.col("_start"), F.col("_start") + F.col("_total")) if narrow else {})
+    starts = starts.drop("_total")
+    dealt = dealt.withColumn("_within", F.coalesce(F.sum("_weight").over(within), F.lit(0)))
     same = [dealt[k].eqNullSafe(starts[f"_k{i}"]) for i, k in enumerate(keys)] + [dealt["_bucket"] == starts["_b"]]
     joined = dealt.join(starts, same, "inner")
     return joined.withColumn(name, F.col("_start") + F.col("_within")).drop("_bucket", "_weight", "_within", "_start", "_b", *(f"_k{i}" for i in range(len(keys))))

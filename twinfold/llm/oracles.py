@@ -20,22 +20,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, p""",
     "op3_mixing": r"""
 WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || md5('20:' || coalesce(doc_id::VARCHAR, ''))[:15])::BIGINT AS o FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs FROM z GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM z GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM s),
 k AS (SELECT *, row_number() OVER r AS n, (sum(source_size) OVER () - coalesce(sum(cap) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
   / (sum(weight) OVER () - coalesce(sum(weight) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS level FROM w WINDOW r AS (ORDER BY cap / weight, source NULLS LAST)),
 a AS (SELECT *, min(n) FILTER (cap > level * weight) OVER () AS first FROM k),
-t AS (SELECT source, source_size, docs, CASE WHEN n >= first THEN max(level) FILTER (n = first) OVER () * weight ELSE cap::DOUBLE END AS target FROM a),
-house AS (SELECT greatest(1, round_even(sum(size) / 32.0, 0))::BIGINT AS house FROM z),
-near AS (SELECT source, target, house, n, greatest(floor(target * (house - n) / tt + 0.5) - 1, 0)::BIGINT AS least, ceil(target * (house + n) / tt + 0.5)::BIGINT AS most
-  FROM (SELECT *, count(*) OVER () AS n, greatest(sum(target) OVER (), 1e-9) AS tt FROM t), house),
-tried AS (SELECT source, house, house - sum(least) OVER (PARTITION BY k0) AS left_seats, least, most, target FROM (SELECT *, 0 AS k0 FROM near)),
-won AS (SELECT source, count(*) AS more FROM (SELECT *, row_number() OVER (ORDER BY target / (2 * u.k + 1) DESC, source NULLS LAST, u.k) AS rn FROM tried, UNNEST(range(least, most + 1)) AS u(k) WHERE target > 0) WHERE rn <= left_seats GROUP BY source),
-plan AS (SELECT t.source, source_size, t.target, b, least(n.least + coalesce(won.more, 0), 3 * b) AS seats, ('0x' || md5('20:' || coalesce(t.source, 'null'))[:15])::BIGINT % b * 32 AS f
-  FROM (SELECT *, greatest(ceil(source_size / 32), 1)::BIGINT AS b FROM t) t JOIN near n ON n.source IS NOT DISTINCT FROM t.source LEFT JOIN won ON won.source IS NOT DISTINCT FROM t.source),
-placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY o % greatest(1, (c + 4095) // 4096), o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS st FROM (SELECT *, count(*) OVER () AS c FROM z))
-SELECT doc_id, size, source_size, target, (seats // b * size + greatest(least(st + size, f + seats % b * 32) - greatest(st, f), 0) + greatest(least(st + size, f + seats % b * 32 - b * 32) - greatest(st, f - b * 32), 0))::BIGINT AS taken
-FROM placed JOIN plan ON placed.source IS NOT DISTINCT FROM plan.source""",
+t AS (SELECT source, source_size, greatest(ceil(source_size / 32), 1)::BIGINT AS b, CASE WHEN n >= first THEN max(level) FILTER (n = first) OVER () * weight ELSE cap::DOUBLE END AS target FROM a),
+house AS (SELECT h.i AS shard, (h.i * greatest(1, round_even(total / 32.0, 0))::BIGINT) // 16 AS seats FROM (SELECT sum(size) AS total FROM z), UNNEST(range(0, 17)) AS h(i)),
+won AS (SELECT source, row_number() OVER (ORDER BY target / (2 * u.k + 1) DESC, source NULLS LAST, u.k) AS rn FROM t, UNNEST(range(0, 3 * b + 2)) AS u(k) WHERE target > 0),
+ends AS (SELECT t.source, b, shard, least(count(rn) FILTER (rn <= seats), 3 * b) AS c FROM t CROSS JOIN house LEFT JOIN won ON won.source IS NOT DISTINCT FROM t.source GROUP BY t.source, b, shard),
+q AS (SELECT source, b, shard, c AS c0, lead(c) OVER o AS c1, max(c) OVER (PARTITION BY source) // b AS p, max(c) OVER (PARTITION BY source) % b AS rest FROM ends WINDOW o AS (PARTITION BY source ORDER BY shard)),
+l AS (SELECT *, least(greatest(c0 - p * b, 0), rest) AS l0, least(greatest(c1 - p * b, 0), rest) AS l1 FROM q WHERE c1 IS NOT NULL),
+h AS (SELECT *, (b::HUGEINT * l0 // greatest(rest, 1))::BIGINT AS low, (b::HUGEINT * l1 // greatest(rest, 1))::BIGINT AS high FROM l),
+f AS (SELECT *, low + ('0x' || md5('20:' || coalesce(source, 'null') || ':' || shard)[:15])::BIGINT % greatest(high - low, 1) AS st FROM h),
+runs AS (SELECT source, greatest(c0, u.i * b) - u.i * b AS a, least(c1, (u.i + 1) * b, p * b) - u.i * b AS z FROM f, UNNEST(range(0, 3)) AS u(i)
+  UNION ALL SELECT source, st, least(st + l1 - l0, high) FROM f UNION ALL SELECT source, low, low + greatest(st + l1 - l0 - high, 0) FROM f),
+placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY o % greatest(1, (c + 4095) // 4096), o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS st FROM (SELECT *, count(*) OVER () AS c FROM z)),
+got AS (SELECT doc_id, st, sum(least(z * 32, st + size) - greatest(a * 32, st)) AS taken FROM placed JOIN runs ON placed.source IS NOT DISTINCT FROM runs.source AND a * 32 < st + size AND z * 32 > st AND a < z GROUP BY doc_id, st)
+SELECT placed.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+FROM placed JOIN t ON placed.source IS NOT DISTINCT FROM t.source LEFT JOIN got ON got.doc_id IS NOT DISTINCT FROM placed.doc_id AND got.st = placed.st AND size > 0""",
     "op7_line_dedup": r"""
 WITH l AS (SELECT doc_id, u.i, u.line, translate(trim(u.line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM documents, UNNEST(string_split(coalesce(text, ''), chr(10))) WITH ORDINALITY AS u(line, i)),
