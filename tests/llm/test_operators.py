@@ -368,7 +368,7 @@ def test_packing(spark, docs, data):
     path = tokenizer("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
     want = Counter(tuple([*plain.encode(t or "", add_special_tokens=False).ids, 1]) for _, t, *_ in data)
-    pieces = packing.pack_documents(docs, path, seq_len=64, max_open=4).collect()
+    pieces = packing.pack_documents(docs, path, seq_len=64, cut_price=3).collect()
     by, sequences = defaultdict(list), defaultdict(list)
     for p in pieces:
         ids = np.frombuffer(p.ids, "<u4")
@@ -391,6 +391,66 @@ def test_packing(spark, docs, data):
     assert padded == 0 and sum(p.length for p in pieces) == sum(len(k) * n for k, n in want.items())
 
 
+def brute_packing(lengths: list[int], size: int, price: int) -> tuple[list, Counter]:
+    """(document, start, length, fill it met) of every piece up to the end of the rows, and the open windows by fill."""
+    cost = lambda fills, cuts: 16 * sum(n * n for n in fills.values()) + sum(fills.values()) ** 2 + 16 * price * cuts
+    fills, out = Counter(), []
+    for doc, length in enumerate(lengths):
+        at = length - length % size
+        while at < length:
+            rest, options = length - at, []
+            for h in [*sorted(h for h in fills if fills[h]), 0]:  # of equal choices the first
+                after, head = Counter(fills), min(size - h, rest)
+                if h:
+                    after[h] -= 1
+                if h + head < size:
+                    after[h + head] += 1
+                if head < rest:
+                    after[rest - head] += 1  # the tail, as if it opened a window
+                options.append((cost(after, head < rest), h, head))
+            _, h, head = min(options, key=lambda o: o[0])
+            out.append((doc, at, head, h))
+            if h:
+                fills[h] -= 1
+            if h + head < size:
+                fills[h + head] += 1
+            at += head
+    return out, +fills
+
+
+@pytest.mark.parametrize(("price", "seed"), [(0, 1), (1, 2), (5, 3), (63, 4)])
+def test_packing_places_like_brute_force(price, seed):
+    rng = np.random.default_rng(seed)
+    lengths = [int(n) for n in rng.choice([rng.integers(1, 40), 17, 20, 33, 3], 60)] + [int(n) for n in rng.integers(1, 90, 300)]
+    size, packer, met = 32, packing.Packer(32, price), []
+    choose = packer.choose
+    packer.choose = lambda rest, *more: met.append((rest, choose(rest, *more))) or met[-1][1]
+    closed = [p for doc, n in enumerate(lengths) for p in packer.add(doc, np.arange(n, dtype=np.uint32))]
+    want, fills = brute_packing(lengths, size, price)
+    assert [(rest, h) for rest, h in met] == [((lengths[d] - at), h) for d, at, _, h in want]
+    assert {h: int(n) for h, n in enumerate(packer.level) if n} == dict(fills) and packer.open == sum(fills.values()) <= 8 * (price + 1) + 1
+    pieces = closed + list(packer.close())
+    held = defaultdict(list)
+    for doc, start, ids, total, _, _ in pieces:
+        assert total == lengths[doc]
+        held[doc].append((start, ids.tolist()))
+    assert all([i for _, part in sorted(held[d]) for i in part] == list(range(n)) for d, n in enumerate(lengths))
+    windows = Counter()
+    for *_, ids, _, sequence, offset in sorted(pieces, key=lambda p: (p[4], p[5])):
+        assert offset == windows[sequence]
+        windows[sequence] += len(ids)
+    assert all(n == size or n & (n - 1) == 0 for n in windows.values()) and sum(n < size for n in windows.values()) <= 5
+
+
+@pytest.mark.parametrize("length", [1, 1023, 1024, 1025, 1100, 2047])
+def test_packing_memory_is_bounded(length):
+    packer = packing.Packer(2048)
+    for d in range(3000):
+        for _ in packer.add(d, np.zeros(length, np.uint32)):
+            pass
+        assert packer.open <= 8 * (packing.CUT_PRICE + 1) + 1
+
+
 def test_word_tokenizer_equals_tokenizer():
     from tokenizers import Tokenizer
 

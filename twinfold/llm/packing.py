@@ -1,12 +1,19 @@
 """Sum-of-squares online packing of tokenised documents into fixed windows.
 
 Every task packs the documents it reads, in the order it reads them, so nothing is shuffled. A document's ids (its
-tokens and one closing id) are first cut into whole windows; what remains, shorter than a window, goes into the open
-window whose fill level makes the sum of squared level counts smallest, or opens a new one. The level counts are an
-array indexed by fill. When ``max_open`` windows are open, the fullest is topped up with the head of the next
-remainder, which bounds memory whatever the length distribution. When the task's rows end, what the open windows hold
-is laid end to end and cut into whole windows; the last, short stretch is cut into lengths that are powers of two,
-which need no padding.
+tokens and one closing id) are first cut into whole windows. What remains, shorter than a window, may go into an open
+window that has room, open a new one, or be cut: its head fills a window and its tail is placed in turn. The level array
+counts the open windows by fill, and the choice is that with the smallest
+
+    sum of the squared level counts + open windows squared / 16 + ``CUT_PRICE`` for each cut.
+
+Nothing else decides, from the first document to the last. The second term keeps memory bounded whatever the lengths:
+of all levels take that with the most windows; placing there, or cutting there, changes the first sum by at most 2, so
+a window is opened only while there are at most 8 (CUT_PRICE + 1) of them.
+
+When the task's rows end, the open windows are taken apart, the emptiest first, and their pieces are placed by the same
+rule with cuts free and no new window while one is open. The ids of the one that is left are cut into lengths that are
+powers of two, which need no padding. Which documents share a window depends on how the scan is cut into tasks.
 
 Defined results: a null or empty text is the closing id alone; rows with equal doc_id are packed one by one; an empty
 table gives an empty result; a null doc_id is carried through; other columns are ignored.
@@ -24,6 +31,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+#: Price of a cut in the sum that placement minimises; the open windows of a task are at most 8 (CUT_PRICE + 1) + 1.
+CUT_PRICE = 63
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -119,8 +128,8 @@ class WordTokenizer:
 class Packer:
     """Sum-of-squares packing of id arrays; gives (doc, start, ids, doc_tokens, sequence, offset) pieces."""
 
-    def __init__(self, seq_len: int, max_open: int, first_sequence: int = 0):
-        self.size, self.max_open, self.next = seq_len, max(1, max_open), first_sequence
+    def __init__(self, seq_len: int, cut_price: int = CUT_PRICE, first_sequence: int = 0):
+        self.size, self.price, self.next = seq_len, cut_price, first_sequence
         self.level = np.zeros(seq_len + 1, np.int64)  # open windows by fill
         self.bins: dict[int, list[list]] = {}  # fill -> windows, each a list of (doc, start, ids, doc_tokens)
         self.open = 0
@@ -148,52 +157,61 @@ class Packer:
             self.open += 1
             self.bins.setdefault(fill, []).append(window)
 
+    def choose(self, rest: int, price: int, may_open: bool = True) -> int:
+        """Fill of the window that ``rest`` ids, fewer than a window, go into; 0 for a new one.
+
+        Changes of 16 times the sum are compared; of equal ones an open window comes before a new one, and an emptier
+        before a fuller one.
+        """
+        fills = np.flatnonzero(self.level)
+        if not len(fills):
+            return 0
+        count, reached = self.level[fills], fills + rest
+        left = 16 * (1 - 2 * count)  # a window leaves its level
+        place = left + 16 * (1 + 2 * self.level[np.minimum(reached, self.size)])
+        full = left + 1 - 2 * self.open
+        cut = left + 16 * (1 + 2 * self.level[np.maximum(reached - self.size, 0)]) + 16 * price
+        change = np.where(reached < self.size, place, np.where(reached == self.size, full, cut))
+        best = int(np.argmin(change))
+        if may_open and 16 * (1 + 2 * self.level[rest]) + 2 * self.open + 1 < change[best]:
+            return 0
+        return int(fills[best])
+
+    def _place(self, doc, start: int, ids: np.ndarray, total: int, price: int, may_open: bool = True) -> Iterator[tuple]:
+        while len(ids):
+            fill = self.choose(len(ids), price, may_open)
+            head = min(self.size - fill, len(ids))
+            window = self._take(fill) if fill else []
+            yield from self._put([*window, (doc, start, ids[:head].copy(), total)], fill + head)
+            start, ids = start + head, ids[head:]
+
     def add(self, doc, ids: np.ndarray) -> Iterator[tuple]:
-        total, start = len(ids), 0
-        while total - start >= self.size:
+        total, whole = len(ids), len(ids) - len(ids) % self.size
+        for start in range(0, whole, self.size):
             yield from self._whole([(doc, start, ids[start : start + self.size], total)])
-            start += self.size
-        while start < total and self.open >= self.max_open:
-            fill = max(self.bins)
-            head = min(self.size - fill, total - start)
-            yield from self._put([*self._take(fill), (doc, start, ids[start : start + head].copy(), total)], fill + head)
-            start += head
-        if start == total:
-            return
-        rest = total - start
-        # Change of the sum of squares, halved and without what all choices share: leave level h, reach level h + rest.
-        change = self.level[rest:] - self.level[: self.size + 1 - rest] + 1
-        change[-1] = 1 - self.level[self.size - rest]  # a full window is closed and counts no more
-        change[1:][self.level[1 : self.size + 1 - rest] == 0] = np.iinfo(np.int64).max
-        change[0] = self.level[rest] + 1  # a new window
-        if self.level[self.size - rest]:
-            change[-1] -= 1
-        fill = int(np.argmin(change))
-        window = self._take(fill) if fill else []
-        yield from self._put([*window, (doc, start, ids[start:].copy(), total)], fill + rest)
+        yield from self._place(doc, whole, ids[whole:], total, self.price)
 
     def close(self) -> Iterator[tuple]:
-        held = [p for fill in sorted(self.bins, reverse=True) for window in self.bins[fill] for p in window]
-        left = sum(len(p[2]) for p in held)
-        self.bins, self.open = {}, 0
-        self.level[:] = 0
-        lengths = [self.size] * (left // self.size) + [1 << b for b in range(self.size.bit_length(), -1, -1) if (left % self.size) >> b & 1]
-        queue, at = iter(held), None
-        for length in lengths:
-            window, fill = [], 0
-            while fill < length:
-                doc, start, ids, total = at or next(queue)
-                part = min(length - fill, len(ids))
-                window.append((doc, start, ids[:part], total))
-                at = (doc, start + part, ids[part:], total) if part < len(ids) else None
-                fill += part
-            yield from self._whole(window)
+        while self.open > 1:
+            for doc, start, ids, total in self._take(min(self.bins)):
+                yield from self._place(doc, start, ids, total, 0, may_open=False)
+        for fill in list(self.bins):
+            held, lengths = self._take(fill), [1 << b for b in range(self.size.bit_length(), -1, -1) if fill >> b & 1]
+            for length in lengths:
+                window, room = [], length
+                while room:
+                    doc, start, ids, total = held.pop(0)
+                    window.append((doc, start, ids[:room], total))
+                    if len(ids) > room:
+                        held.insert(0, (doc, start + room, ids[room:], total))
+                    room -= min(room, len(ids))
+                yield from self._whole(window)
 
 
 _ready: dict[str, WordTokenizer] = {}
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int = 1, max_open: int = 256) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int = 1, cut_price: int = CUT_PRICE) -> DataFrame:
     """Pieces of packed documents: ``ids`` holds a piece's ids as little-endian unsigned 32-bit numbers.
 
     ``sequence_id`` is unique over the result; ``start`` counts the document's ids before the piece and ``offset``
@@ -202,7 +220,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, en
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _ready.get(tokenizer_path) or _ready.setdefault(tokenizer_path, WordTokenizer(tokenizer_path))
-        packer = Packer(seq_len, max_open, TaskContext.get().partitionId() << 40)
+        packer = Packer(seq_len, cut_price, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], np.uint32)
 
         def rows(pieces: Iterable[tuple]) -> pa.RecordBatch:
