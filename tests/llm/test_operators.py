@@ -189,6 +189,30 @@ def test_nearest_neighbours(spark):
     assert ann.search(ann.usable(none), F.col("vec_id") == 0).collect() == []
 
 
+def test_codes_decide_what_is_scored(spark):
+    """Asymmetric tables against decoded vectors; a query scores its ``rerank`` nearest codes over all lists it visits."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 24))
+    frame = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    index = ann.fit(ann.usable(frame), 600, parts=6, codes=16, lists=9, probes=9)
+    unit = index.pad(x)
+    near, code = index.encode(unit)
+    decoded = index.coarse[near] + np.concatenate([book[code[:, p]] for p, book in enumerate(index.books)], axis=1)
+    for at in range(9):
+        mine = near == at
+        assert np.allclose(index.distances(unit[:7], at, code[mine]), ((unit[:7, None] - decoded[mine][None]) ** 2).sum(axis=2))
+    assert (np.sum(((unit[:40, None] - decoded[None]) ** 2).sum(axis=2) <= index.bounds(unit[:40], 30)[:, None], axis=1) >= 30).all()
+    got = defaultdict(set)
+    for r in ann.search(ann.usable(frame), F.col("vec_id") % 50 == 0, k=5, index=index, rerank=30).collect():
+        got[r.query_id].add(r.vec_id)
+    for q in range(0, 600, 50):
+        distance = ((unit[q] - decoded) ** 2).sum(axis=1)
+        distance[q] = np.inf
+        best = np.argsort(distance, kind="stable")[:30]
+        score = unit @ unit[q]
+        assert got[q] == set(best[np.argsort(-score[best], kind="stable")[:5]].tolist())
+
+
 def test_toxicity(spark):
     made = [(i, ("you are a stupid idiot " if i % 5 == 0 else "you are a kind friend ") + " ".join(f"w{(i * 7 + k) % 50}" for k in range(30)), int(i % 5 == 0)) for i in range(400)]
     labelled = spark.createDataFrame(made, "doc_id long, text string, toxic int")
