@@ -154,6 +154,50 @@ def test_forward_sums_all_segmentations():
     assert math.isclose(math.exp(model.word("aba")[0]), 0.2 * 0.3 * 0.2 + 0.4 * 0.2 + 0.1)
 
 
+def cuttings(word: str, pieces: list[str]) -> list[list[str]]:
+    """All ways of cutting a word into pieces; a letter that is no piece stands for itself."""
+    if not word:
+        return [[]]
+    heads = {word[:n] for n in range(1, len(word) + 1) if word[:n] in pieces} | ({word[0]} - set(pieces))
+    return [[head, *rest] for head in heads for rest in cuttings(word[len(head) :], pieces)]
+
+
+def test_expectation_maximisation_against_enumeration():
+    pieces = ["a", "ab", "aba", "b", "ba", "bab", "c", "ca"]
+    words = {"abab": 3, "babaca": 2, "cab": 5, "aba": 7, "xab": 1, "c": 2}
+    begin = np.array([8.0 ** (len(p) - 1) for p in pieces])
+    p = dict(zip(pieces, begin / (begin.sum() + 1)))
+    for _ in range(4):
+        p["x"] = 1e-7
+        expected = dict.fromkeys(pieces, 0.05)
+        for word, n in words.items():
+            ways = cuttings(word, pieces)
+            chance = [math.prod(p[x] for x in way) for way in ways]
+            for way, c in zip(ways, chance):
+                for x in way:
+                    if x != "x":
+                        expected[x] += n * c / sum(chance)
+        p = {x: e / sum(expected.values()) for x, e in expected.items()}
+    model = language_id.train({"l": words}, pieces, rounds=3)
+    assert np.allclose(model.prob[:-1, 0], [p[x] for x in pieces], rtol=1e-9)
+    p["x"] = 1e-7
+    for word in ["abacab", "xx", "bab", "caba"]:
+        want = math.log(sum(math.prod(p[x] for x in way) for way in cuttings(word, pieces)))
+        assert math.isclose(model.word(word)[0], want) and math.isclose(model.runs([word, "a"])[0, 0], want)
+
+
+def test_language_rows(spark):
+    """Numerals and marks are no letters; letters beyond the basic plane are; null ids, repeats and clashing columns."""
+    made = [(1, "the stone river light is green", "en"), (4, "la rivière est très belle", "fr")] * 3 + [(None, "½ ² ① ٣ _ ́", "en"), (7, "𝒳 ½", "fr"), (7, None, "fr"), (None, "the river", "en")]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string").selectExpr("*", "1 AS score", "'clash' AS lang_pred", "2 AS _text", "3 AS _h")
+    model = language_id.train(language_id.sample_words(docs), language_id.piece_list(tokenizer("piece_bpe_32k.model")))
+    got = language_id.identify(docs, model).collect()
+    assert len(got) == len(made) and Counter((r.doc_id, r.lang_pred) for r in got) == Counter({(1, "en"): 3, (4, "fr"): 3, (None, "und"): 1, (7, got[7].lang_pred): 1, (7, "und"): 1, (None, "en"): 1})
+    assert got[7].lang_pred != "und" and all(r.score == 0 for r in got if r.lang_pred == "und")
+    sample = language_id.sample_words(docs, docs_each=1)
+    assert sum(sample["fr"].values()) in (1, 5) and set(sample) == {"en", "fr"}
+
+
 def test_language_without_training(docs, empty):
     model = language_id.language_model(empty, tokenizer("piece_bpe_32k.model"))
     assert {r.lang_pred for r in language_id.identify(docs, model).collect()} == {"und"}
