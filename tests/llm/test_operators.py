@@ -269,6 +269,53 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(labelled, blank).collect()} == {0.5}
 
 
+def test_ftrl_step_by_step(spark):
+    """Weights of the trained model against the published update rule, written out coordinate by coordinate."""
+    texts = ["you stupid fool", "kind words here", "stupid stupid words", "", "a fool", None, "kind kind fool words"] * 6
+    made = [(i, t, int("stupid" in (t or "") or i % 9 == 0)) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, toxic int")
+    order = [r.doc_id for r in frame.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").collect()]
+    rows = [(sorted({int(x) for x in toxicity.features(made[i][1], toxicity.WordHashes(), 12)}), made[i][2]) for i in order]
+    z, n, positive = defaultdict(float), defaultdict(float), sum(y for _, y in rows)
+    base = math.log((positive + 0.5) / (len(rows) - positive + 0.5))
+
+    def weight(i) -> float:
+        l1 = 0.0 if i == "intercept" else toxicity.L1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return (math.copysign(l1, z[i]) - z[i]) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(3):
+        for x, y in rows:
+            x = [*x, "intercept"]
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + math.exp(-base - sum(w.values()))) - y
+            for i in x:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    model = toxicity.train(frame, bits=12, epochs=3)
+    assert dict(zip(model.at.tolist(), np.round(model.weight, 9))) == {i: round(weight(i), 9) for i in z if i != "intercept" and weight(i)}
+    assert math.isclose(model.bias, base + weight("intercept")) and len(model.at) > 3
+    scores = {r.doc_id: r.score for r in toxicity.score(frame, model).collect()}
+    for i, text, _ in made:
+        total = model.bias + sum(weight(x) for x in {int(x) for x in toxicity.features(text, toxicity.WordHashes(), 12)})
+        assert math.isclose(scores[i], 1 / (1 + math.exp(-total)))
+
+
+def test_toxicity_rows(spark):
+    """Null ids, repeated rows and labels, empty texts and tables, clashing columns."""
+    docs = spark.createDataFrame([(1, "you stupid fool"), (1, "a kind word"), (2, "kind"), (None, "stupid"), (3, ""), (4, None), (2, "kind")], "doc_id long, text string").selectExpr("*", "'clash' AS score", "'clash' AS toxic", "1 AS predicted")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")
+    sample = toxicity.labelled(docs, labels)
+    assert Counter((r.doc_id, r.text, r.toxic) for r in sample.collect()) == Counter([(1, "you stupid fool", 1), (1, "a kind word", 1), (2, "kind", 0), (2, "kind", 0)])
+    model = toxicity.train(sample)
+    got = toxicity.score(docs, model).collect()
+    assert Counter(r.doc_id for r in got) == Counter([1, 1, 2, 2, 3, 4, None]) and all(0 < r.score < 1 for r in got)
+    assert len({r.score for r in got if r.doc_id in (3, 4)}) == 1
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    assert {r.score for r in toxicity.score(docs, toxicity.train(toxicity.labelled(docs.limit(0), labels))).collect()} == {0.5}
+
+
 def test_line_dedup(docs, data):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(lower)

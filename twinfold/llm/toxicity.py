@@ -5,8 +5,12 @@ keeps a learning rate for each coordinate and its L1 term leaves most weights at
 broadcast is a short list. It is trained on a bounded, hash-ordered sample of labelled rows, streamed through one
 task; scoring is one pass over every whole text without a shuffle.
 
-Defined results: a null or empty text gets the share of toxic rows in the sample; without any labelled row every score is 0.5;
-of repeated labels of a document the largest counts; a null doc_id is carried through; other columns are ignored.
+The settings were chosen by the log loss on the labelled rows whose crc32(doc_id as text) mod 4 is 1, with the others of
+the training rows as the sample; the held-out rows had no part in it.
+
+Defined results: a null or empty text has no features, so the intercept alone gives its score; without any labelled row
+every score is 0.5; of repeated labels of a document the largest counts, and each row of a repeated document is scored
+(and learnt from) by itself; a null doc_id is scored but never learnt from; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bound of the training sample, in labelled documents; hash bits; FTRL's settings.
-SAMPLE_DOCS, BITS, ALPHA, BETA, L1, L2, EPOCHS = 8000, 20, 0.5, 1.0, 3.0, 1.0, 2
+SAMPLE_DOCS, BITS, ALPHA, BETA, L1, L2, EPOCHS = 8000, 20, 1.0, 1.0, 5.0, 1.0, 4
 _TOKEN = re.compile(r"\w+")
 
 
@@ -44,19 +48,25 @@ def features(text: str | None, hashes: WordHashes, bits: int = BITS) -> np.ndarr
 
 
 class Ftrl:
-    """FTRL-proximal with per-coordinate rates; ``bias`` is the log-odds of the sample's labels and stays as it is."""
+    """FTRL-proximal with per-coordinate rates.
+
+    The intercept is the last coordinate: every row has it, the L1 term spares it, and ``base`` (the log-odds of the
+    sample's labels) is where it starts.
+    """
 
-    def __init__(self, bits: int = BITS, bias: float = 0.0, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
-        self.z, self.n, self.bias = np.zeros(1 << bits), np.zeros(1 << bits), bias
-        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+    def __init__(self, bits: int = BITS, base: float = 0.0, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
+        self.z, self.n, self.base = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1), base
+        self.alpha, self.beta, self.l2 = alpha, beta, l2
+        self.intercept, self.l1 = 1 << bits, l1
 
     def weights(self, at: np.ndarray) -> np.ndarray:
-        z = self.z[at]
-        return np.where(np.abs(z) <= self.l1, 0.0, (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2))
+        z, l1 = self.z[at], np.where(at == self.intercept, 0.0, self.l1)
+        return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2))
 
     def learn(self, at: np.ndarray, label: int) -> None:
+        """One row; ``at`` holds its distinct coordinates, the intercept last."""
         w = self.weights(at)
-        g = 1 / (1 + np.exp(-np.clip(w.sum() + self.bias, -35, 35))) - label
+        g = 1 / (1 + np.exp(-np.clip(w.sum() + self.base, -35, 35))) - label
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
@@ -83,17 +93,17 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, bits: int = BITS,
         hashes, rows = WordHashes(), []
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows.append((np.unique(features(text, hashes, bits)).astype(np.int32), int(label > 0)))
+                rows.append((np.append(np.unique(features(text, hashes, bits)), 1 << bits).astype(np.int32), int(label > 0)))
             hashes.clear()
         positive = sum(label for _, label in rows)
         model = Ftrl(bits, float(np.log((positive + 0.5) / (len(rows) - positive + 0.5))))
         for _ in range(epochs):
             for x, label in rows:
                 model.learn(x.astype(np.int64), label)
-        every = np.arange(len(model.z))
-        w = model.weights(every)
-        used = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array([*used, 1 << bits], pa.int64()), pa.array([*w[used], model.bias], pa.float64())], names=["at", "weight"])
+        w = model.weights(np.arange(len(model.z)))
+        w[-1] += model.base
+        used = np.union1d(np.flatnonzero(w), [model.intercept])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(w[used], pa.float64())], names=["at", "weight"])
 
     got = sample.select("text", "toxic").coalesce(1).mapInArrow(run, "at long, weight double").collect()
     at, weight = np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], float)
