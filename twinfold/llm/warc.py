@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, shared_dir
 
-#: Payloads below this many bytes are never revisits; characters in a chunk row; bytes of a chunk that the reader gives.
-MIN_BYTES, CHUNK_CHARS, CHUNK_BYTES = 0, 262_144, 1 << 20
+#: Payloads below this many bytes are never revisits; bytes in a chunk row to be written, and in one that the reader gives.
+MIN_BYTES, WRITE_BYTES, CHUNK_BYTES = 0, 1 << 18, 1 << 20
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNKS = "page_id long, record_id string, record_type string, refers_to long, chunk_no long, data binary, payload_bytes long, payload_digest string, last boolean, intact boolean"
@@ -53,7 +53,7 @@ def base32(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
-def chunk_rows(pages: DataFrame, min_bytes: int = MIN_BYTES, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def chunk_rows(pages: DataFrame, min_bytes: int = MIN_BYTES, chunk_bytes: int = WRITE_BYTES) -> DataFrame:
     """page_id, url, size, sha1, refers_to, chunk_no, last, data: a record's chunks follow one another."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("html")).withColumn("sha1", F.unhex(F.sha1(F.col("html").cast("binary")))).withColumn("size", F.octet_length("html").cast("long"))
@@ -61,11 +61,12 @@ def chunk_rows(pages: DataFrame, min_bytes: int = MIN_BYTES, chunk_chars: int =
     first = marks.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("sha1", "size").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     revisits = marks.join(first, ["sha1", "size"]).where(F.col("page_id") > F.col("refers_to")).select("page_id", "sha1", "refers_to").distinct()
     known = rows.join(revisits, ["page_id", "sha1"], "left")
-    body = F.when(F.col("refers_to").isNull(), F.col("html")).otherwise("")
-    counted = known.withColumn("body", body).drop("html").withColumn("_n", F.greatest(F.ceil(F.length("body") / chunk_chars), F.lit(1)).cast("int"))
-    each = counted.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    piece = F.substring(F.col("body"), F.col("chunk_no") * chunk_chars + 1, F.lit(chunk_chars)).cast("binary")
-    return each.select("page_id", "url", "size", "sha1", "refers_to", "chunk_no", (F.col("chunk_no") == F.col("_n") - 1).alias("last"), piece.alias("data"))
+    body = F.when(F.col("refers_to").isNull(), F.col("html").cast("binary")).otherwise(F.lit(b""))
+    count = F.greatest(F.ceil(F.octet_length("body") / chunk_bytes), F.lit(1)).cast("int")
+    # Cut within the row: only the pieces are exploded, so a payload is not copied once for each of its chunks.
+    piece = lambda i: F.struct(i.alias("chunk_no"), (i == F.size(F.col("numbers")) - 1).alias("last"), F.substring(F.col("body"), i * chunk_bytes + 1, F.lit(chunk_bytes)).alias("data"))
+    each = known.withColumn("body", body).drop("html").withColumn("numbers", F.sequence(F.lit(0), count - 1))
+    return each.select("page_id", "url", "size", "sha1", "refers_to", F.explode(F.transform("numbers", piece)).alias("c")).select("page_id", "url", "size", "sha1", "refers_to", "c.chunk_no", "c.last", "c.data")
 
 
 def record_head(page: int | None, serial: str, url: str | None, size: int, digest: str, refers: int | None) -> bytes:
