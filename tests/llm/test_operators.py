@@ -56,6 +56,19 @@ def test_quality_hosts(spark):
     assert not judged[110].base_failed and not judged[110].kept and judged[110].host_rate > 0.5
 
 
+def test_quality_rules_by_host(spark):
+    """A rule that fails no document by itself fails its host, and with it the host's other documents; nulls and clashes."""
+    good = " ".join(f"w{i}" for i in range(60))
+    lines = "\n".join(["the same line here"] + [" ".join(f"v{k}x{i}" for i in range(20)) for k in range(4)] + ["the same line here"] * 3)
+    made = [(i, good + (" #" * 20 if i % 8 else ""), "signs") for i in range(80)] + [(100 + i, lines if i % 8 else good, "lines") for i in range(80)] + [(200 + i, good, "good") for i in range(200)] + [(None, None, None), (None, "", None), (900, good, None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string").selectExpr("*", "1 AS n_lines", "'clash' AS docs", "2 AS short", "3 AS host_rate", "4 AS w")
+    judged = quality_rules.judge(docs).collect()
+    assert len(judged) == len(made) and not any(r.base_failed for r in judged if r.source)
+    assert {r.kept for r in judged if r.source in ("signs", "lines")} == {False} and {r.kept for r in judged if r.source == "good"} == {True}
+    assert sum(r.base_failed for r in judged if r.source is None) == 2
+    assert quality_rules.host_rates(quality_rules.measure(docs).limit(0)).count() == 0
+
+
 def test_mixing(docs, data):
     mixed, quotas = mixing.mix(docs, block=8, shards=4)
     got = mixed.collect()
@@ -586,7 +599,7 @@ def test_warc(spark, tmp_path):
     html = ["<p>one</p>", "<p>two</p>", "<p>one</p>", None, "", "é" * 700_000 + "\r\n\r\nWARC/1.1\r\n", "<p>one</p>"]
     made = [(10 + i, f"http://h.example/{i}?q=a b\n", h) for i, h in enumerate(html)] + [(None, None, "<p>one</p>"), (10, "http://again.example", "<p>one</p>")]
     pages = spark.createDataFrame(made, "page_id long, url string, html string").withColumn("size", F.lit("clash")).repartition(3)
-    manifest = warc.write_archives(warc.chunk_rows(pages, chunk_chars=100_000), f"file://{tmp_path}/w")
+    manifest = warc.write_archives(warc.chunk_rows(pages, chunk_bytes=100_000), f"file://{tmp_path}/w")
     chunks = warc.read_archives(manifest, chunk_bytes=200_000)
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in chunks.where("last").collect()), key=repr)
     first = {}

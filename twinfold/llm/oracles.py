@@ -8,16 +8,18 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all
 tri AS (SELECT doc_id, u.i, w[u.i] AS a, w[u.i + 1] AS b, w[u.i + 2] AS c FROM d, UNNEST(range(1, len(w) - 1)) AS u(i)),
 rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM tri) WHERE n > 1),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
-ln AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+ln AS (SELECT doc_id, count(*) AS lines, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 m AS (SELECT d.doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-  coalesce(ln.n, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN ln USING (doc_id) LEFT JOIN cov USING (doc_id)),
+  coalesce(ln.n, 0)::BIGINT AS n_dup_lines, coalesce(ln.lines, 0) AS n_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN ln USING (doc_id) LEFT JOIN cov USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) AS docs, sum(base_failed::INT)::BIGINT AS failures FROM f GROUP BY source),
-t AS (SELECT sum(docs) AS n, sum(failures) AS f, count(*) AS h, sum(failures * failures / docs) AS ff, sum(docs::DOUBLE * docs) AS nn FROM h),
-v AS (SELECT f / n AS mean, ((ff - f * f / n) - (f / n) * (1 - f / n) * (h - 1)) / nullif(n - nn / n - (h - 1), 0) AS var FROM t),
-p AS (SELECT mean, coalesce(CASE WHEN var > 0 AND mean * (1 - mean) > var THEN mean * (1 - mean) / var - 1 WHEN var >= mean * (1 - mean) THEN 1e-3 ELSE 1e6 END, 1e6) AS strength FROM v)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (mean * strength + failures) / (strength + docs) < 0.5 AS kept
-FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, p""",
+r AS (SELECT source, unnest(['short', 'repeats', 'symbols', 'lines']) AS rule, unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 100 * n_symbols > 10 * n_words, 100 * n_dup_lines > 30 * n_lines]) AS bad FROM f),
+h AS (SELECT source, rule, count(*) AS docs, sum(bad::INT)::BIGINT AS failures FROM r GROUP BY source, rule),
+t AS (SELECT rule, sum(docs) AS n, sum(failures) AS f, count(*) AS h, sum(failures * failures / docs) AS ff, sum(docs::DOUBLE * docs) AS nn FROM h GROUP BY rule),
+v AS (SELECT rule, f / n AS mean, ((ff - f * f / n) - (f / n) * (1 - f / n) * (h - 1)) / nullif(n - nn / n - (h - 1), 0) AS var FROM t),
+p AS (SELECT rule, mean, coalesce(CASE WHEN var > 0 AND mean * (1 - mean) > var THEN mean * (1 - mean) / var - 1 WHEN var >= mean * (1 - mean) THEN 1e-3 ELSE 1e6 END, 1e6) AS strength FROM v),
+host AS (SELECT source, max((mean * strength + failures) / (strength + docs)) AS rate FROM h JOIN p USING (rule) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate < 0.5 AS kept
+FROM f JOIN host ON f.source IS NOT DISTINCT FROM host.source""",
     "op3_mixing": r"""
 WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || md5('20:' || coalesce(doc_id::VARCHAR, ''))[:15])::BIGINT AS o FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM z GROUP BY source),
