@@ -2,8 +2,9 @@
 the new rows. Refused commands change nothing and are returned with their reason by ``refusals``.
 
 segs: project_id, side, block_pos, seg_no, text, original_text, excluded, bead_pos. beads: project_id, bead_pos (order),
-confidence, method, review_level. New beads take fractional positions between their neighbours, which ``renumber`` makes
-whole again; commands on one book are folded one after another, books in parallel.
+confidence, method, review_level. New beads take positions halfway to the next bead, so that any number of commands can
+follow one another; ``whole_positions`` makes them whole again. Each function takes the commands of many books at once;
+commands that see one another's results are given to it in turn.
 """
 
 from __future__ import annotations
@@ -60,20 +61,37 @@ def merged(segs: DataFrame, beads: DataFrame, commands: DataFrame) -> tuple[Data
     return new_segs, new_beads
 
 
+def next_position(beads: DataFrame) -> DataFrame:
+    """project_id, bead_pos (double) and _next: the book's next bead, or one position further where there is none."""
+    at = F.col("bead_pos").cast("double")
+    book = Window.partitionBy("project_id").orderBy("bead_pos")
+    return beads.select("project_id", at.alias("bead_pos")).withColumn("_next", F.coalesce(F.lead("bead_pos").over(book), F.col("bead_pos") + 1))
+
+
 def bead_split(segs: DataFrame, beads: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(segs, beads) after splitting each commanded bead (project_id, bead_pos, source_at, target_at): segments from the
-    given ordinal of their side in the bead on (null: none) go to a new bead half a position later."""
+    given ordinal of their side in the bead on (null: none) go to a new bead halfway to the next one."""
     order = Window.partitionBy("project_id", "bead_pos", "side").orderBy("block_pos", "seg_no")
-    placed = segs.withColumn("_n", F.row_number().over(order)).join(commands, ["project_id", "bead_pos"], "left")
+    at = segs.withColumn("bead_pos", F.col("bead_pos").cast("double"))
+    wanted = commands.withColumn("bead_pos", F.col("bead_pos").cast("double")).join(next_position(beads), ["project_id", "bead_pos"])
+    placed = at.withColumn("_n", F.row_number().over(order)).join(wanted, ["project_id", "bead_pos"], "left")
     goes = F.coalesce(F.col("_n") >= F.when(F.col("side") == "source", F.col("source_at")).otherwise(F.col("target_at")), F.lit(False))
     bead = Window.partitionBy("project_id", "bead_pos")
     placed = placed.withColumn("_goes", goes).withColumn("_able", F.bool_or("_goes").over(bead) & F.bool_or(~F.col("_goes")).over(bead))
-    placed = placed.withColumn("_new", F.col("_goes") & F.col("_able") & F.col("bead_pos").isNotNull())
-    new_segs = placed.withColumn("bead_pos", F.col("bead_pos") + F.when(F.col("_new"), 0.5).otherwise(0.0)).select(*segs.columns)
-    cut = placed.where("_new").select("project_id", "bead_pos").distinct().withColumn("_cut", F.lit(True))
-    marked = manual(beads.join(cut, ["project_id", "bead_pos"], "left"), F.coalesce(F.col("_cut"), F.lit(False)))
-    old = marked.withColumn("bead_pos", F.col("bead_pos").cast("double"))
-    return new_segs, old.unionByName(old.where("_cut").withColumn("bead_pos", F.col("bead_pos") + 0.5)).select(*beads.columns)
+    placed = placed.withColumn("_to", F.when(F.col("_goes") & F.col("_able") & F.col("bead_pos").isNotNull(), (F.col("bead_pos") + F.col("_next")) / 2))
+    new_segs = placed.withColumn("bead_pos", F.coalesce("_to", "bead_pos")).select(*segs.columns)
+    cut = placed.where("_to is not null").select("project_id", "bead_pos", "_to").distinct()
+    old = manual(beads.withColumn("bead_pos", F.col("bead_pos").cast("double")).join(cut, ["project_id", "bead_pos"], "left"), F.col("_to").isNotNull())
+    return new_segs, old.unionByName(old.where("_to is not null").withColumn("bead_pos", F.col("_to"))).select(*beads.columns)
+
+
+def whole_positions(segs: DataFrame, beads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(segs, beads) with bead_pos the bead's place in its book, from 0."""
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy("bead_pos")).cast("long") - 1
+    numbered = beads.withColumn("_place", place)
+    places = numbered.select("project_id", "bead_pos", "_place")
+    new_segs = segs.join(places, ["project_id", "bead_pos"], "left").withColumn("bead_pos", F.col("_place")).select(*segs.columns)
+    return new_segs, numbered.withColumn("bead_pos", F.col("_place")).select(*beads.columns)
 
 
 def reviewed(beads: DataFrame, commands: DataFrame) -> DataFrame:
@@ -175,20 +193,26 @@ def blocks_included(segs: DataFrame, beads: DataFrame, blocks: DataFrame) -> tup
     """(segs, beads) with the commanded excluded blocks back: into the bead that the segments before and after them on
     their side share, else into a new unreviewed bead after the one before. Neighbouring commanded blocks are taken in
     document order, each seeing the one before: those of one gap share its bead where both ends do, and otherwise each
-    gets a bead of its own, in order."""
+    gets a bead of its own, in order. New beads divide the way to the book's next bead evenly."""
     wanted = blocks.select("project_id", "side", "block_pos", F.lit(True).alias("_in"))
-    joined = segs.join(wanted, ["project_id", "side", "block_pos"], "left").withColumn("_in", F.coalesce(F.col("_in"), F.lit(False)) & F.col("excluded"))
+    joined = segs.withColumn("bead_pos", F.col("bead_pos").cast("double")).join(wanted, ["project_id", "side", "block_pos"], "left").withColumn("_in", F.coalesce(F.col("_in"), F.lit(False)) & F.col("excluded"))
     order = Window.partitionBy("project_id", "side").orderBy("block_pos", "seg_no")
     before = F.last("bead_pos", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first("bead_pos", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
     joined = joined.withColumn("_before", before).withColumn("_after", after)
     own = joined.where("_in").select("project_id", "side", "block_pos", "_before", "_after").distinct()
     shares = F.coalesce(F.col("_before") == F.col("_after"), F.lit(False))
-    gap = Window.partitionBy("project_id", F.coalesce("_before", F.lit(-1.0))).orderBy(F.col("side"), "block_pos")
-    fresh = own.where(~shares).withColumn("_bead", F.coalesce(F.col("_before"), F.lit(-1.0)) + F.row_number().over(gap) / 4096.0)
-    placed = own.where(shares).withColumn("_bead", F.col("_before").cast("double")).unionByName(fresh)
-    new_segs = joined.drop("_before", "_after").join(placed.select("project_id", "side", "block_pos", "_bead"), ["project_id", "side", "block_pos"], "left")
-    new_segs = new_segs.withColumn("excluded", F.col("excluded") & ~F.col("_in")).withColumn("bead_pos", F.when(F.col("_in"), F.col("_bead")).otherwise(F.col("bead_pos").cast("double"))).select(*segs.columns)
+    # A gap at the book's beginning ends at its first bead and begins one position earlier.
+    firsts = beads.groupBy("project_id").agg(F.min(F.col("bead_pos").cast("double")).alias("_first"))
+    ends = next_position(beads).withColumnRenamed("bead_pos", "_before")
+    fresh = own.where(~shares).join(ends, ["project_id", "_before"], "left").join(firsts, "project_id", "left")
+    fresh = fresh.withColumn("_from", F.coalesce("_before", F.col("_first") - 1, F.lit(-1.0))).withColumn("_next", F.coalesce("_next", "_first", F.lit(0.0)))
+    gap = Window.partitionBy("project_id", "_from")
+    step = F.row_number().over(gap.orderBy("side", "block_pos")) / (F.count(F.lit(1)).over(gap) + 1)
+    fresh = fresh.withColumn("_bead", F.col("_from") + (F.col("_next") - F.col("_from")) * step)
+    placed = own.where(shares).withColumn("_bead", F.col("_before")).select("project_id", "side", "block_pos", "_bead").unionByName(fresh.select("project_id", "side", "block_pos", "_bead"))
+    new_segs = joined.drop("_before", "_after").join(placed, ["project_id", "side", "block_pos"], "left")
+    new_segs = new_segs.withColumn("excluded", F.col("excluded") & ~F.col("_in")).withColumn("bead_pos", F.when(F.col("_in"), F.col("_bead")).otherwise(F.col("bead_pos"))).select(*segs.columns)
     new = fresh.select("project_id", F.col("_bead").alias("bead_pos"), F.lit(0.0).alias("confidence"), F.lit("manual").alias("method"), F.lit(0).alias("review_level"))
     return new_segs, beads.withColumn("bead_pos", F.col("bead_pos").cast("double")).select("project_id", "bead_pos", "confidence", "method", "review_level").unionByName(new)
 

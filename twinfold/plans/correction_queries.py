@@ -71,13 +71,53 @@ def merge_next_segments(lib):
     return long_keys(edits.merged(segs(lib), lib.beads, one_bead(lib))[0].select(*KEYS, "bead_pos"))
 
 
-@query("""SELECT project_id, side, block_pos, seg_no, bead_pos + CASE WHEN goes AND able THEN 0.5 ELSE 0.0 END AS bead_pos FROM (
-  SELECT *, bool_or(goes) OVER b AND bool_or(NOT goes) OVER b AND bead_pos IS NOT NULL AS able FROM (
-    SELECT *, coalesce(bead_pos = 1 + project_id % 3 AND side = 'source' AND row_number() OVER (PARTITION BY project_id, bead_pos, side ORDER BY block_pos, seg_no) >= 2, false) AS goes FROM zipped)
-  WINDOW b AS (PARTITION BY project_id, bead_pos))""")
+SPLIT = """, s1 AS (SELECT *, coalesce(bead_pos = 1 + project_id % 3 AND side = 'source' AND row_number() OVER (PARTITION BY project_id, bead_pos, side ORDER BY block_pos, seg_no) >= 2, false) AS goes FROM zipped),
+one AS (SELECT project_id, side, block_pos, seg_no, bead_pos + CASE WHEN goes AND bool_or(goes) OVER b AND bool_or(NOT goes) OVER b AND bead_pos IS NOT NULL THEN 0.5::DOUBLE ELSE 0 END AS bead_pos FROM s1 WINDOW b AS (PARTITION BY project_id, bead_pos)),
+s2 AS (SELECT *, coalesce(bead_pos = 1 + project_id % 3 AND side = 'target' AND row_number() OVER (PARTITION BY project_id, bead_pos, side ORDER BY block_pos, seg_no) >= 1, false) AS goes FROM one),
+ahead AS (SELECT project_id, bead_pos, lead(bead_pos, 1, bead_pos + 1) OVER (PARTITION BY project_id ORDER BY bead_pos) AS ahead FROM (SELECT DISTINCT project_id, bead_pos FROM one WHERE bead_pos IS NOT NULL)),
+two AS (SELECT project_id, side, block_pos, seg_no, CASE WHEN goes AND bool_or(goes) OVER b AND bool_or(NOT goes) OVER b THEN (bead_pos + ahead) / 2 ELSE bead_pos END AS bead_pos FROM s2 LEFT JOIN ahead USING (project_id, bead_pos) WINDOW b AS (PARTITION BY project_id, bead_pos))
+"""
+
+
+def split_commands(lib: Library, source_at: int | None, target_at: int | None) -> DataFrame:
+    return one_bead(lib).select("project_id", "bead_pos", F.lit(source_at).cast("int").alias("source_at"), F.lit(target_at).cast("int").alias("target_at"))
+
+
+def split_twice(lib: Library) -> tuple[DataFrame, DataFrame]:
+    """The commanded bead loses its source segments from the second on, then what is left of it its target segments."""
+    return edits.bead_split(*edits.bead_split(segs(lib), lib.beads, split_commands(lib, 2, None)), split_commands(lib, None, 1))
+
+
+@query(SPLIT + "SELECT * FROM one")
 def split_bead(lib):
-    commands = one_bead(lib).select("project_id", "bead_pos", F.lit(2).alias("source_at"), F.lit(None).cast("int").alias("target_at"))
-    return long_keys(edits.bead_split(segs(lib), lib.beads, commands)[0].select(*KEYS, "bead_pos"))
+    return long_keys(edits.bead_split(segs(lib), lib.beads, split_commands(lib, 2, None))[0].select(*KEYS, "bead_pos"))
+
+
+@query(SPLIT + "SELECT * FROM two")
+def split_bead_twice(lib):
+    return long_keys(split_twice(lib)[0].select(*KEYS, "bead_pos"))
+
+
+@query(SPLIT + """SELECT project_id, bead_pos, CASE WHEN was = bead_pos AND NOT hit THEN confidence ELSE 1.0 END AS confidence, CASE WHEN was = bead_pos AND NOT hit THEN method ELSE 'manual' END AS method, review_level
+FROM (SELECT DISTINCT project_id, bead_pos, floor(bead_pos)::BIGINT AS was, bool_or(bead_pos <> floor(bead_pos)) OVER (PARTITION BY project_id, floor(bead_pos)) AS hit FROM two WHERE bead_pos IS NOT NULL) t
+JOIN (SELECT project_id, bead_pos AS was, confidence, method, review_level FROM beads) b USING (project_id, was)""")
+def split_bead_twice_beads(lib):
+    return split_twice(lib)[1].select("project_id", "bead_pos", "confidence", "method", "review_level")
+
+
+@query(SPLIT + "SELECT project_id, side, block_pos, seg_no, CASE WHEN bead_pos IS NOT NULL THEN dense_rank() OVER (PARTITION BY project_id, bead_pos IS NULL ORDER BY bead_pos) - 1 END AS bead_pos FROM two")
+def whole_positions(lib):
+    return long_keys(edits.whole_positions(*split_twice(lib))[0].select(*KEYS, "bead_pos"))
+
+
+@query(UNITS + SPLIT + """, b2 AS (SELECT DISTINCT project_id, bead_pos, dense_rank() OVER (PARTITION BY project_id ORDER BY bead_pos) AS at FROM two WHERE bead_pos IS NOT NULL),
+h AS (SELECT * FROM b2 WHERE bead_pos <> floor(bead_pos))
+SELECT h.project_id, h.bead_pos AS hit, x.bead_pos FROM h JOIN b2 x ON x.project_id = h.project_id AND x.at BETWEEN h.at - 1 AND h.at + 1""")
+def context_after_split(lib):
+    """The hits count as reviewed sentences, so that each is its own core."""
+    made, beads = split_twice(lib)
+    beads = beads.withColumn("review_level", F.lit(3)).withColumn("n_source", F.lit(1)).withColumn("n_target", F.lit(1))
+    return search.context(beads.where("bead_pos <> floor(bead_pos)"), beads, made, around=1).select("project_id", "hit", "bead_pos")
 
 
 @query("""SELECT project_id, bead_pos, CASE WHEN bead_pos % 4 = 1 THEN greatest(review_level, 2) WHEN bead_pos % 4 = 2 THEN least(review_level, 1) ELSE review_level END AS review_level FROM beads""")
@@ -140,8 +180,10 @@ def exclude_block_beads(lib):
 
 
 @query(""", x AS (SELECT *, last_value(bead_pos IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bf, first_value(bead_pos IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS af FROM zipped WINDOW w AS (PARTITION BY project_id, side ORDER BY block_pos, seg_no)),
-y AS (SELECT *, excluded AND coalesce(bf = af, false) AS shares FROM x)
-SELECT project_id, side, block_pos, seg_no, false AS excluded, CASE WHEN shares THEN bf::DOUBLE WHEN excluded THEN coalesce(bf, -1) + dense_rank() OVER (PARTITION BY project_id, excluded, shares, coalesce(bf, -1) ORDER BY side, block_pos) / 4096.0::DOUBLE ELSE bead_pos::DOUBLE END AS bead_pos FROM y""")
+y AS (SELECT *, excluded AND coalesce(bf = af, false) AS shares, coalesce(bf::DOUBLE, -1) AS start FROM x),
+n AS (SELECT project_id, start, count(*) AS n FROM (SELECT DISTINCT project_id, start, side, block_pos FROM y WHERE excluded AND NOT shares) GROUP BY ALL)
+SELECT project_id, side, block_pos, seg_no, false AS excluded, CASE WHEN shares THEN bf::DOUBLE WHEN excluded THEN start + dense_rank() OVER (PARTITION BY project_id, excluded, shares, start ORDER BY side, block_pos) / (n + 1)::DOUBLE ELSE bead_pos::DOUBLE END AS bead_pos
+FROM y LEFT JOIN n USING (project_id, start)""")
 def include_block(lib):
     blocks = lib.blocks.where("excluded").select("project_id", "side", "block_pos")
     return long_keys(edits.blocks_included(segs(lib), lib.beads, blocks)[0].select(*KEYS, "excluded", "bead_pos"))

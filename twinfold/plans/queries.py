@@ -99,10 +99,6 @@ BEAD_TEXT = """, bead_text AS (
 """
 
 
-def on_index(lib: Library) -> DataFrame:
-    return search.bead_tokens(search.bead_texts(lib.segments))
-
-
 @query(f"{BEAD_TEXT} SELECT * FROM bead_text")
 def bead_text(lib):
     return search.bead_texts(lib.segments)
@@ -110,32 +106,37 @@ def bead_text(lib):
 
 @query(f"{BEAD_TEXT} SELECT project_id, bead_pos, side, pos, token FROM toks")
 def fold_tokens(lib):
-    return on_index(lib).withColumn("pos", F.col("pos").cast("long"))
+    return search.bead_tokens(search.bead_texts(lib.segments)).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"{BEAD_TEXT} SELECT project_id, bead_pos, side, pos, token FROM toks")
+def stored_index(lib):
+    return lib.index.select("project_id", F.col("bead_pos").cast("long").alias("bead_pos"), "side", F.col("pos").cast("long").alias("pos"), "token")
 
 
 @query(f"{BEAD_TEXT} SELECT DISTINCT project_id, bead_pos FROM toks WHERE token LIKE 'd%'")
 def search_prefix(lib):
-    return search.matching(on_index(lib), "d")
+    return search.matching(lib.index, "d")
 
 
 @query(f"{BEAD_TEXT} SELECT DISTINCT project_id, bead_pos FROM toks WHERE token = 'die' AND side = 'target'")
 def search_whole(lib):
-    return search.matching(on_index(lib), "Die", side="target", whole_words=True)
+    return search.matching(lib.index, "Die", side="target", whole_words=True)
 
 
 @query(f"{BEAD_TEXT} SELECT DISTINCT a.project_id, a.bead_pos FROM toks a JOIN toks b ON a.project_id = b.project_id AND a.bead_pos = b.bead_pos AND a.side = b.side AND b.pos = a.pos + 1 WHERE a.token LIKE 'de%' AND b.token LIKE 'l%'")
 def search_phrase(lib):
-    return search.matching(on_index(lib), '"de l"')
+    return search.matching(lib.index, '"de l"')
 
 
 @query(f"{BEAD_TEXT} SELECT DISTINCT a.project_id, a.bead_pos FROM toks a JOIN toks b ON a.project_id = b.project_id AND a.bead_pos = b.bead_pos AND a.side = b.side WHERE a.token LIKE 'und%' AND b.token LIKE 'e%'")
 def search_either_side(lib):
-    return search.matching(on_index(lib), "UND é", side="either")
+    return search.matching(lib.index, "UND é", side="either")
 
 
 @query(f"{BEAD_TEXT} SELECT project_id, count(DISTINCT bead_pos) AS n FROM toks WHERE token LIKE 'th%' GROUP BY project_id")
 def search_counts(lib):
-    return search.counts(search.matching(on_index(lib), "th"))
+    return search.counts(search.matching(lib.index, "th"))
 
 
 @query(f"""{BEAD_TEXT} SELECT project_id, bead_pos, updated_at, title FROM (
@@ -143,7 +144,7 @@ def search_counts(lib):
 ORDER BY updated_at DESC, title, project_id, bead_pos LIMIT 50 OFFSET 20""")
 def search_page(lib):
     books = lib.beads.select("project_id").distinct().select("project_id", (F.col("project_id") % 7).alias("updated_at"), F.concat(F.lit("conv "), F.col("project_id").cast("string")).alias("title"))
-    return search.page(search.matching(on_index(lib), "e"), books, limit=50, offset=20).select("project_id", "bead_pos", "updated_at", "title")
+    return search.page(search.matching(lib.index, "e"), books, limit=50, offset=20).select("project_id", "bead_pos", "updated_at", "title")
 
 
 @query(f"""{BEAD_TEXT}, parts AS (SELECT project_id, bead_pos, u.p, u.i - 1 AS k FROM bead_text, UNNEST(regexp_extract_all(source, '[\\p{{L}}\\p{{N}}\\p{{M}}]+|[^\\p{{L}}\\p{{N}}\\p{{M}}]+')) WITH ORDINALITY AS u(p, i))

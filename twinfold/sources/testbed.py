@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import search
+from .stored import stored
 
 GAP = 1024
 
@@ -61,12 +63,25 @@ def review_level() -> Column:
 
 
 class Library:
-    """The tables of a library, each planned once."""
+    """The tables of a library, written once in the shared folder and read from there, books in order."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.blocks = blocks(spark, sf_dir)
-        self.segments = zipped(segments(self.blocks))
-        self.beads = beads(self.segments)
+        self.spark, self.source = spark, spark.read.parquet(f"{sf_dir}/conversations.parquet")
+        folder = stored(spark, "library", self.source, lambda f: self._write(sf_dir, f))
+        self.blocks, self.segments, self.beads = (spark.read.parquet(f"{folder}/{name}") for name in ("blocks", "segments", "beads"))
+
+    def _write(self, sf_dir: str, folder: str) -> None:
+        by_book = lambda df, *order: df.repartitionByRange("project_id").sortWithinPartitions("project_id", *order)
+        by_book(blocks(self.spark, sf_dir), "side", "block_pos").write.parquet(f"{folder}/blocks")
+        of_segments = zipped(segments(self.spark.read.parquet(f"{folder}/blocks")))
+        by_book(of_segments, "side", "block_pos", "seg_no").write.parquet(f"{folder}/segments")
+        by_book(beads(self.spark.read.parquet(f"{folder}/segments")), "bead_pos").write.parquet(f"{folder}/beads")
+
+    @property
+    def index(self) -> DataFrame:
+        """The search index, written once like the tables."""
+        folder = stored(self.spark, "index", self.source, lambda f: search.write_index(search.bead_tokens(search.bead_texts(self.segments)), f))
+        return search.read_index(self.spark, folder)
 
 
 #: The same library for an engine with RE2 expressions (no look-around), as common table expressions.
