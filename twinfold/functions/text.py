@@ -90,7 +90,7 @@ def tokens(folded: Column) -> Column:
 def anchor_tokens(text: Column) -> Column:
     """Numbers, and capitalised words other than the first word; each once, sorted."""
     every = F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0))
-    capital = F.filter(F.slice(every, 2, 1 << 30), lambda w: w.rlike(r"^\p{IsUppercase}"))
+    capital = F.filter(F.slice(every, F.lit(2), F.greatest(F.size(every) - 1, F.lit(0))), lambda w: w.rlike(r"^\p{IsUppercase}"))
     return F.array_sort(F.array_distinct(F.concat(capital, F.regexp_extract_all(text, F.lit(r"(?U)\d+"), F.lit(0)))))
 
 
@@ -102,6 +102,7 @@ def sentences(text: Column) -> Column:
     """
     closers = rf"(?:{SPACE}*[»”\"’)\]])*"
     after = rf"(?={SPACE}+(?:[{OPENERS}]{SPACE}*|-{SPACE}+)*\p{{IsUppercase}})"
+    text = F.replace(text, F.lit("\u0001"), F.lit(""))  # the mark itself
     marked = F.regexp_replace(text, rf"(?U)([.?!…]+{closers}){after}", "$1\u0001")
     short = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
     veto = rf"(?U)((?:^|[^\p{{L}}.])\.*(?:{short}|\p{{IsUppercase}})\.{closers})\u0001"

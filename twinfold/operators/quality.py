@@ -150,11 +150,16 @@ def ligature_gaps(segs: DataFrame) -> DataFrame:
     """Spaces after an f-ligature or Th inside a segment: project_id, side, pos, at (characters before), real.
 
     original and corrected are two texts of a segment; a gap that the corrected text keeps is real, else it is a slip.
+    Each text becomes one sign for each character that is no white space, saying whether a gap or a space follows it; the
+    two are laid side by side, so the work grows with the text's length, whatever the number of gaps.
     """
-    parts = F.split("original", r"(?<=f|fi|fl|Th) (?=\p{L})", -1)
-    gaps = segs.select("project_id", "side", "pos", "corrected", F.posexplode(parts).alias("k", "part"), F.size(parts).alias("n"))
-    order = Window.partitionBy("project_id", "side", "pos").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    placed = gaps.withColumn("at", F.sum(F.length(T.spaceless(F.col("part")))).over(order)).where("k < n - 1")
-    words = F.transform(F.split("corrected", " ", -1), lambda w: F.length(T.spaceless(w)))
-    stops = F.slice(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.reduce(F.slice(words, F.lit(1), i), F.lit(0), lambda a, x: a + x)), 1, F.greatest(F.size(words) - 1, F.lit(0)))
-    return placed.select("project_id", "side", "pos", F.col("at").cast("long").alias("at"), F.array_contains(stops, F.col("at").cast("int")).alias("real"))
+
+    def signs(text: Column, followed: str) -> Column:
+        plain = F.translate(F.regexp_replace(text, rf"(?U)(?! ){T.SPACE}", ""), "\u0001", "0")
+        marked = F.regexp_replace(F.regexp_replace(plain, followed, "\u0001"), "[^\u0001 ]", "0")
+        return F.split(F.translate(marked, "\u0001 ", "1"), "")
+
+    gap, space = r"(?:f|(?<=f)[il]|(?<=T)h)(?= \p{L})", "[^ ](?= )"
+    pairs = F.arrays_zip(signs(F.col("original"), gap).alias("gap"), signs(F.col("corrected"), space).alias("space"))
+    found = F.transform(pairs, lambda z, i: F.when(z["gap"] == "1", F.struct((i + 1).cast("long").alias("at"), F.coalesce(z["space"] == "1", F.lit(False)).alias("real"))))
+    return segs.select("project_id", "side", "pos", F.explode(F.filter(found, lambda g: g.isNotNull())).alias("g")).select("project_id", "side", "pos", "g.at", "g.real")

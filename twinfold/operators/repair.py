@@ -44,7 +44,7 @@ def dropped_ligatures(words: DataFrame) -> DataFrame:
     """word, repair: words (word, n) seen once that become a word seen oftener when fi, fl or ff is put back somewhere."""
     rare = words.where("n = 1").select("word", F.explode(F.sequence(F.lit(0), F.length("word"))).alias("at"))
     tried = rare.select("word", "at", F.explode(F.array(*map(F.lit, ("fi", "fl", "ff")))).alias("lig"))
-    made = tried.select("word", F.concat(F.substring(F.col("word"), F.lit(1), F.col("at")), "lig", F.substring(F.col("word"), F.col("at") + 1, F.lit(1 << 20))).alias("repair"))
+    made = tried.select("word", F.concat(F.substring(F.col("word"), F.lit(1), F.col("at")), "lig", F.substring(F.col("word"), F.col("at") + 1, F.length("word"))).alias("repair"))
     return made.join(words.where("n > 1").select(F.col("word").alias("repair")), "repair", "left_semi").distinct()
 
 
@@ -58,7 +58,7 @@ def rebase_side(gold: list[dict], fresh: list[dict]) -> list[dict]:
     What is left of the gold blocks is a list; each fresh block takes from it, in order, every block that its text goes on
     with, passing over those that belong elsewhere, and may take only the head of the last one. A segment is cut inside
     only where its text is unedited. A gold block of up to three digits in beads, whole in a block that the fresh layer
-    excludes, leaves its beads.
+    excludes, leaves its beads. Parts of which some are excluded and others not make no block: that is an error.
     """
     waiting: list[list[dict]] = []
     for row in gold:
@@ -95,6 +95,8 @@ def rebase_side(gold: list[dict], fresh: list[dict]) -> list[dict]:
                 left = ""
             else:
                 at += 1
+        if len({s["excluded"] for part in taken for s in part}) > 1:
+            raise ValueError(f"block {number}: some of its parts are excluded in the reference layer and others are not")
         digits = "".join(s["text"] for part in taken for s in part).strip()
         number_left = len(taken) == 1 and block["excluded"] and not taken[0][0]["excluded"] and re.fullmatch(rf"[0-9]{{1,{PAGE_NUMBER_DIGITS}}}", re.sub(r"\s", "", digits))
         excluded = True if number_left else taken[0][0]["excluded"] if taken else block["excluded"]

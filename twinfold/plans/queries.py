@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import align, checks, edits, export, history, levels, quality, search, stats
 from ..sources import ingest, layout
+from ..sources.stored import spread
 from ..sources.testbed import SQL, Library
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,7 +33,7 @@ def query(sql: str | None = None, library: bool = True):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
 
 
 DOC_LINES = "SELECT doc_id, lang, u.i - 1 AS n, u.line FROM documents, UNNEST(string_split(text, chr(10))) WITH ORDINALITY AS u(line, i)"

@@ -38,19 +38,16 @@ def text_blocks(texts: DataFrame) -> DataFrame:
     """doc_id, block_no (from 0), text of plain texts (doc_id, text).
 
     If a blank line stands between two filled ones, paragraphs are runs of filled lines, joined by a space; otherwise each
-    line is a block. Lines are cut as Python's splitlines cuts them; blocks that come out empty are left out.
+    line is a block. Lines are cut as Python's splitlines cuts them; blocks that come out empty are left out. All of it
+    happens within the row.
     """
     lines = F.transform(T.text_lines(F.col("text")), T.strip)
-    filled = F.transform(F.col("lines"), lambda x: x != "")
-    first, last = F.array_position(filled, True), F.size("lines") - F.array_position(F.reverse(filled), True) + 1
-    trimmed = F.when(first > 0, F.slice(F.col("lines"), first.cast("int"), (last - first + 1).cast("int"))).otherwise(F.array().cast("array<string>"))
-    cut = texts.select("doc_id", lines.alias("lines")).select("doc_id", trimmed.alias("lines")).withColumn("spaced", F.array_contains("lines", ""))
-    each = cut.select("doc_id", "spaced", F.posexplode("lines").alias("n", "line"))
-    order = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    group = F.when(F.col("spaced"), F.sum((F.col("line") == "").cast("long")).over(order)).otherwise(F.col("n"))
-    runs = each.withColumn("run", group).where("line <> ''").groupBy("doc_id", "run").agg(F.expr("listagg(line, ' ') WITHIN GROUP (ORDER BY n)").alias("raw"))
-    kept = runs.withColumn("text", T.clean(F.col("raw"))).where("text <> ''")
-    return kept.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("run")).cast("long") - 1).alias("block_no"), "text")
+    # Lines hold no line feed, so they can be joined by it and cut where there are several; blank ones at the ends go.
+    body = F.regexp_replace(F.array_join(lines, "\n"), r"^\n+|\n+$", "")
+    runs = F.when(F.contains("body", F.lit("\n\n")), F.split("body", "\n\n+", -1)).otherwise(F.split("body", "\n", -1))
+    blocks = F.filter(F.transform(runs, lambda run: T.clean(F.replace(run, F.lit("\n"), F.lit(" ")))), lambda block: block != "")
+    numbered = texts.select("doc_id", body.alias("body")).select("doc_id", F.posexplode(blocks).alias("block_no", "text"))
+    return numbered.withColumn("block_no", F.col("block_no").cast("long"))
 
 
 def docx_paragraphs(content: bytes) -> list[tuple[str, str]]:
@@ -130,7 +127,7 @@ def lexicon(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     inner = F.when(F.col("_ends"), F.regexp_replace(inner, rf"{LETTER}+(?:-{LETTER}+)*[-­]$", "")).otherwise(inner)
     of_words = rows.select("doc_id", F.explode(F.regexp_extract_all(F.lower(words), F.lit(f"{LETTER}+"), F.lit(0))).alias("word")).distinct()
     chains = rows.select("doc_id", F.explode(F.regexp_extract_all(F.lower(inner), F.lit(rf"{LETTER}+(?:-{LETTER}+)+"), F.lit(0))).alias("chain")).select("doc_id", F.split("chain", "-").alias("p"))
-    of_pairs = chains.select("doc_id", F.explode(F.arrays_zip(F.slice("p", F.lit(1), F.size("p") - 1).alias("a"), F.slice("p", 2, 1 << 20).alias("b"))).alias("z")).select("doc_id", "z.a", "z.b").distinct()
+    of_pairs = chains.select("doc_id", F.explode(F.arrays_zip(F.slice("p", F.lit(1), F.size("p") - 1).alias("a"), F.slice("p", F.lit(2), F.size("p") - 1).alias("b"))).alias("z")).select("doc_id", "z.a", "z.b").distinct()
     books = rows.groupBy("doc_id").agg(F.bool_or(F.col("text").endswith("­")).alias("soft"))
     return of_words, of_pairs, books
 
@@ -157,12 +154,31 @@ def dehyphenated(lines: DataFrame) -> DataFrame:
     return joined.withColumn("text", F.replace("text", F.lit("­"), F.lit("")))
 
 
+def glyph_places(texts: DataFrame) -> DataFrame:
+    """doc_id, at (from 1), glyph, close and wide (three and forty characters around) of private-use characters.
+
+    A text is cut once at its glyphs; what leaves the row are the glyphs with their neighbourhoods, so a text is not
+    copied for each of them.
+    """
+    glyphs = F.regexp_extract_all("text", F.lit(PUA), F.lit(0))
+    parts = F.transform(F.split("text", PUA, -1), lambda p: F.struct(F.length(p).alias("n"), F.right(p, F.lit(40)).alias("tail"), F.left(p, F.lit(40)).alias("head")))
+    cut = texts.select("doc_id", glyphs.alias("glyphs"), parts.alias("parts")).where("size(glyphs) > 0")
+    each = cut.select("doc_id", F.posexplode(F.arrays_zip("glyphs", "parts")).alias("k", "z")).select("doc_id", "k", F.col("z.glyphs").alias("glyph"), F.col("z.parts").alias("p"))
+    text = Window.partitionBy("doc_id").orderBy("k")
+    before = F.coalesce(F.sum(F.col("p.n") + 1).over(text.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # The forty characters on either side may hold other glyphs with their own stretches.
+    around = lambda side: F.collect_list(F.struct("glyph", f"p.{side}")).over(text.rowsBetween(-40, 0) if side == "tail" else text.rowsBetween(1, 41))
+    seen = each.withColumn("at", before + F.col("p.n") + 1).withColumn("_left", around("tail")).withColumn("_right", around("head"))
+    left = F.concat(F.array_join(F.transform(F.slice("_left", F.lit(1), F.size("_left") - 1), lambda x: F.concat(x["tail"], F.coalesce(x["glyph"], F.lit("")))), ""), F.element_at("_left", -1)["tail"])
+    right = F.array_join(F.transform("_right", lambda x: F.concat(x["head"], F.coalesce(x["glyph"], F.lit("")))), "")
+    near = lambda k: F.concat(F.right(left, F.lit(k)), F.col("glyph"), F.left(right, F.lit(k)))
+    return seen.where("glyph is not null").select("doc_id", F.col("at").cast("long").alias("at"), "glyph", near(3).alias("close"), near(40).alias("wide"))
+
+
 def glyph_occurrences(texts: DataFrame) -> DataFrame:
     """doc_id, glyph, n and at most 16 samples (three characters around, forty around) of private-use characters."""
-    found = texts.select("doc_id", "text", F.posexplode(F.split("text", "")).alias("at", "glyph")).where(F.col("glyph").rlike(PUA))
-    near = lambda k: F.substring(F.col("text"), F.greatest(F.col("at") + 1 - k, F.lit(1)).cast("int"), (F.least(F.col("at"), F.lit(k)) + k + 1).cast("int"))
     glyph = Window.partitionBy("doc_id", "glyph")
-    rows = found.select("doc_id", "glyph", "at", near(3).alias("close"), near(40).alias("wide")).withColumn("k", F.row_number().over(glyph.orderBy("at"))).withColumn("n", F.count(F.lit(1)).over(glyph))
+    rows = glyph_places(texts).withColumn("k", F.row_number().over(glyph.orderBy("at"))).withColumn("n", F.count(F.lit(1)).over(glyph))
     return rows.groupBy("doc_id", "glyph").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= SAMPLES, F.struct("k", "close", "wide")))), lambda s: F.struct(s["close"].alias("close"), s["wide"].alias("wide"))).alias("samples"))
 
 

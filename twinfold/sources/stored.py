@@ -27,6 +27,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where it comes from fewer files than there are: a file of one row group is one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def state_of(source: DataFrame) -> tuple:
     """Files that a table is read from, with their lengths and times: another state is another table."""
     jvm, conf = source.sparkSession._jvm, source.sparkSession._jsc.hadoopConfiguration()
