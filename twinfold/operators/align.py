@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 # Fixed values that must be as they are for right results: moves (source, target, probability) in the order of ties.
 MOVES = ((1, 1, 0.89), (1, 0, 0.005), (0, 1, 0.005), (2, 1, 0.045), (1, 2, 0.045), (2, 2, 0.011))
 VARIANCE, BAND, EDGE, ANCHOR_BONUS, ANCHOR_CAP = 6.8, 100, 10, 1.5, 3
@@ -169,3 +171,17 @@ def realigned(segs: DataFrame, runs: DataFrame) -> DataFrame:
     new_number = F.dense_rank().over(Window.partitionBy("project_id").orderBy("bead_pos"))
     changed = fresh.join(old, ["project_id", "side", "pos"]).withColumn("_a", number).withColumn("_b", new_number).where("_a <> _b").select("project_id").distinct()
     return fresh.join(changed, "project_id", "left_semi")
+
+
+def built(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(segs, beads) of new books from their blocks (project_id, side, block_no, kind, text, excluded): sentences, an alignment
+    of the included ones by length, headings at the head of their beads; nothing is reviewed."""
+    cut = blocks.select("project_id", "side", F.col("block_no").alias("block_pos"), "kind", "excluded", F.posexplode(T.sentences(F.col("text"))).alias("seg_no", "text"))
+    order = Window.partitionBy("project_id", "side", "excluded").orderBy("block_pos", "seg_no")
+    segs = cut.withColumn("pos", F.when(~F.col("excluded"), F.row_number().over(order).cast("long") - 1))
+    placed = aligned(segs)
+    opened = headings_open(placed.join(segs.select("project_id", "side", "pos", "kind"), ["project_id", "side", "pos"]))
+    beads = placed.groupBy("project_id", "bead_pos").agg(F.first("confidence").alias("confidence"), F.lit("length").alias("method"), F.lit(0).alias("review_level"))
+    kept = beads.join(opened.select("project_id", "bead_pos"), ["project_id", "bead_pos"], "left_semi")
+    with_beads = segs.join(opened.select("project_id", "side", "pos", "bead_pos"), ["project_id", "side", "pos"], "left")
+    return with_beads.withColumn("original_text", F.col("text")), kept

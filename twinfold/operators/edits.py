@@ -198,7 +198,8 @@ def blocks_included(segs: DataFrame, beads: DataFrame, blocks: DataFrame) -> tup
     joined = segs.withColumn("bead_pos", F.col("bead_pos").cast("double")).join(wanted, ["project_id", "side", "block_pos"], "left").withColumn("_in", F.coalesce(F.col("_in"), F.lit(False)) & F.col("excluded"))
     order = Window.partitionBy("project_id", "side").orderBy("block_pos", "seg_no")
     before = F.last("bead_pos", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("bead_pos", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy("project_id", "side").orderBy(F.desc("block_pos"), F.desc("seg_no"))
+    after = F.last("bead_pos", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     joined = joined.withColumn("_before", before).withColumn("_after", after)
     own = joined.where("_in").select("project_id", "side", "block_pos", "_before", "_after").distinct()
     shares = F.coalesce(F.col("_before") == F.col("_after"), F.lit(False))
@@ -248,3 +249,55 @@ def midpoint(before: Column, after: Column, gap: int = GAP) -> Column:
     """A whole position between two neighbours (null: none); null where there is no room and siblings need new numbers."""
     middle = F.expr("0") + F.floor((before + after) / 2)
     return F.when(before.isNull() & after.isNull(), F.lit(0)).when(after.isNull(), before + gap).when(before.isNull(), F.when(after > 0, F.floor(after / 2))).otherwise(F.when(after - before > 1, middle)).cast("long")
+
+
+def run_replaced(segs: DataFrame, beads: DataFrame, runs: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(segs, beads, refusals) after replacing a run of beads of a book (runs: project_id, first, last) by new unreviewed
+    ones (new: project_id, side, block_pos, seg_no, n: order of the new bead, confidence, method). New beads divide the way
+    from the bead before the run to the one after it evenly. A book whose new beads do not cover the run's segments, on
+    either side in their order, with known methods and confidences from 0 to 1, is refused and stays as it was."""
+    keys = ["project_id", "side", "block_pos", "seg_no"]
+    inside = segs.join(runs, "project_id").where("bead_pos between first and last")
+    place = lambda by: F.row_number().over(Window.partitionBy("project_id", "side").orderBy(*by, "block_pos", "seg_no")).alias("at")
+    seg_id = F.struct("block_pos", "seg_no").alias("seg_id")
+    refused = refusals_of_run(inside.select("project_id", "side", seg_id, place([])), new.select("project_id", "side", seg_id, place(["n"]), "method", "confidence"))
+    able = new.join(refused.select("project_id").distinct(), "project_id", "left_anti")
+    taken = runs.join(able.select("project_id").distinct(), "project_id", "left_semi")
+    at = F.col("bead_pos").cast("double")
+    every = beads.join(taken, "project_id")
+    edges = every.groupBy("project_id", "first", "last").agg(F.max(F.when(F.col("bead_pos") < F.col("first"), at)).alias("_a"), F.min(F.when(F.col("bead_pos") > F.col("last"), at)).alias("_b"))
+    edges = edges.select("project_id", F.coalesce("_a", F.col("first") - 1.0).alias("_a"), F.coalesce("_b", F.col("last") + 1.0).alias("_b"))
+    book = Window.partitionBy("project_id")
+    fresh = able.groupBy("project_id", "n").agg(F.first("confidence").alias("confidence"), F.first("method").alias("method"))
+    fresh = fresh.withColumn("_k", F.row_number().over(book.orderBy("n")) / (F.count(F.lit(1)).over(book) + 1)).join(edges, "project_id").withColumn("bead_pos", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_k"))
+    to = able.select(*keys, "n").join(fresh.select("project_id", "n", F.col("bead_pos").alias("_to")), ["project_id", "n"]).drop("n")
+    new_segs = segs.join(to, keys, "left").withColumn("bead_pos", F.coalesce("_to", at)).select(*segs.columns)
+    old = beads.join(taken, "project_id", "left").where("first is null or bead_pos < first or bead_pos > last").withColumn("bead_pos", at)
+    names = ["project_id", "bead_pos", "confidence", "method", "review_level"]
+    return new_segs, old.select(*names).unionByName(fresh.withColumn("review_level", F.lit(0)).select(*names)), refused
+
+
+def places_after(siblings: DataFrame, commands: DataFrame, gap: int = GAP) -> tuple[DataFrame, DataFrame]:
+    """(siblings, new) with whole places for many new rows at once. siblings: parent, ord; commands, one a parent: parent,
+    after (ord of the row they follow, null: before all), n (how many). new: parent, k (from 0), ord. Where there is no room
+    the siblings are spread a gap apart once, the later ones n gaps further on: siblings keeps old ord and its new one (to).
+    """
+    parent = Window.partitionBy("parent")
+    rows = siblings.join(commands, "parent", "left").withColumn("_i", F.row_number().over(parent.orderBy("ord")).cast("long"))
+    first = F.coalesce(F.col("ord") <= F.col("after"), F.lit(False))
+    edges = rows.groupBy("parent").agg(F.max(F.when(first, F.col("ord"))).alias("_a"), F.min(F.when(~first, F.col("ord"))).alias("_b"), F.max(F.when(first, F.col("_i"))).alias("_before"))
+    asked = commands.join(edges, "parent", "left")
+    low = F.coalesce("_a", F.lit(-1).cast("long"))
+    tight = F.col("_b").isNotNull() & (F.col("_b") - low < F.col("n") + 1)
+    asked = asked.withColumn("_tight", tight)
+    spread = rows.join(asked.where("_tight").select("parent", F.lit(True).alias("_tight")), "parent", "left")
+    to = F.when(F.col("_tight"), (F.col("_i") + F.when(first, 0).otherwise(F.col("n"))) * gap).otherwise(F.col("ord"))
+    each = asked.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    step = F.col("k") + 1
+    place = (
+        F.when(F.col("_tight"), (F.coalesce("_before", F.lit(0)) + step) * gap)
+        .when(F.col("_b").isNotNull(), low + F.floor(step * (F.col("_b") - low) / (F.col("n") + 1)))
+        .when(F.col("_a").isNotNull(), F.col("_a") + step * gap)
+        .otherwise(F.col("k") * gap)
+    )
+    return spread.select("parent", "ord", to.cast("long").alias("to")), each.select("parent", F.col("k").cast("long").alias("k"), place.cast("long").alias("ord"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,3 +52,30 @@ def reverted(changes: DataFrame) -> DataFrame:
 def reapplied(changes: DataFrame) -> DataFrame:
     """What redoing an operation writes: each row as it was after the operation's last change of it."""
     return changes.groupBy("project_id", "op", "row_id").agg(F.max_by(F.struct("after"), "seq").alias("_last")).select("project_id", "op", "row_id", F.col("_last.after").alias("value"))
+
+
+def recorded(log: DataFrame) -> DataFrame:
+    """The operations that a log leaves: project_id, op (seq of its first record), kind, seqs (its records), undone.
+
+    log: project_id, seq, action (edit, undo or redo), kind, n_changes, coalesce. An edit without changes is no operation;
+    another forgets what was undone, and with coalesce goes into the latest operation if that is of its kind. A book's log is
+    read once, in order.
+    """
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        done, undone = [], []
+        for r in rows.sort_values("seq").itertuples():
+            if r.action == "edit" and r.n_changes:
+                undone = []
+                if r.coalesce and done and done[-1][1] == r.kind:
+                    done[-1][2].append(r.seq)
+                else:
+                    done.append((r.seq, r.kind, [r.seq]))
+            elif r.action == "undo" and done:
+                undone.append(done.pop())
+            elif r.action == "redo" and undone:
+                done.append(undone.pop())
+        out = [(key[0], *op, False) for op in done] + [(key[0], *op, True) for op in undone]
+        return pd.DataFrame(out, columns=["project_id", "op", "kind", "seqs", "undone"])
+
+    return log.groupBy("project_id").applyInPandas(one, "project_id long, op long, kind string, seqs array<long>, undone boolean")

@@ -30,7 +30,8 @@ def unit_ends(beads: DataFrame, segs: DataFrame) -> DataFrame:
     rows = beads.select("project_id", "bead_pos").join(edges, ["project_id", "bead_pos"], "left")
     book = Window.partitionBy("project_id").orderBy("bead_pos")
     before = F.last("last_block", ignorenulls=True).over(book.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("first_block", ignorenulls=True).over(book.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy("project_id").orderBy(F.desc("bead_pos"))
+    after = F.last("first_block", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.withColumn("_before", before).withColumn("_after", after)
     outside = F.col("_before").isNull() | F.col("_after").isNull()
     paragraph = outside | (F.col("_before.block_pos") != F.col("_after"))
@@ -80,7 +81,7 @@ def next_unit(found: DataFrame, wanted: Column, name: str) -> DataFrame:
     """For every unit, the next one for which wanted holds, else the first of the book (null if there is none)."""
     book = Window.partitionBy("project_id")
     number = F.when(wanted, F.col("unit_no"))
-    later = F.min(number).over(book.orderBy("unit_no").rowsBetween(1, Window.unboundedFollowing))
+    later = F.min(number).over(book.orderBy(F.desc("unit_no")).rowsBetween(Window.unboundedPreceding, -1))
     return found.select("project_id", "unit_no", F.coalesce(later, F.min(number).over(book)).alias(name))
 
 

@@ -28,19 +28,22 @@ def same_text(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def overlaps(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """project_id, side, gold, predicted (beads, null: excluded), n: characters that two segments share.
+    """project_id, side, at, gold, predicted (beads, null: excluded), n: characters that two segments share, from ``at``
+    on; where the predicted layer has a block column, also the block they are in.
 
     Cut points of both layers are merged on each side; between two neighbouring cuts each layer has one segment, found
     by carrying its last start forward. This is linear where an interval join would compare neighbours.
     """
-    mark = lambda x, k: x.select("project_id", "side", F.col("start").alias("at"), F.lit(k).alias("layer"), F.struct("bead").alias("seg"))
+    block = "block" in predicted.columns
+    held = lambda x, k: F.struct("bead", F.col("block").cast("long").alias("block")) if block and k == "p" else F.struct("bead", F.lit(None).cast("long").alias("block"))
+    mark = lambda x, k: x.select("project_id", "side", F.col("start").alias("at"), F.lit(k).alias("layer"), held(x, k).alias("seg"))
     ends = gold.groupBy("project_id", "side").agg(F.max(F.col("start") + F.col("length")).alias("at"))
     points = mark(gold, "g").unionByName(mark(predicted, "p")).groupBy("project_id", "side", "at").agg(F.max(F.when(F.col("layer") == "g", F.col("seg"))).alias("g"), F.max(F.when(F.col("layer") == "p", F.col("seg"))).alias("p"))
-    points = points.unionByName(ends.withColumn("g", F.lit(None).cast("struct<bead:bigint>")).withColumn("p", F.lit(None).cast("struct<bead:bigint>")))
+    points = points.unionByName(ends.withColumn("g", F.lit(None).cast("struct<bead:bigint,block:bigint>")).withColumn("p", F.lit(None).cast("struct<bead:bigint,block:bigint>")))
     order = Window.partitionBy("project_id", "side").orderBy("at")
     past = order.rowsBetween(Window.unboundedPreceding, 0)
-    cut = points.select("project_id", "side", (F.lead("at").over(order) - F.col("at")).alias("n"), F.last("g", ignorenulls=True).over(past).alias("g"), F.last("p", ignorenulls=True).over(past).alias("p"))
-    return cut.where("n > 0").select("project_id", "side", F.col("g.bead").alias("gold"), F.col("p.bead").alias("predicted"), "n")
+    cut = points.select("project_id", "side", "at", (F.lead("at").over(order) - F.col("at")).alias("n"), F.last("g", ignorenulls=True).over(past).alias("g"), F.last("p", ignorenulls=True).over(past).alias("p"))
+    return cut.where("n > 0").select("project_id", "side", "at", F.col("g.bead").alias("gold"), F.col("p.bead").alias("predicted"), "n", *([F.col("p.block").alias("block")] if block else []))
 
 
 def ratio(hits: Column, total: Column, other: Column) -> Column:
@@ -52,15 +55,16 @@ def f1(p: Column, r: Column) -> Column:
     return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
 
 
-def exclusion_score(shared: DataFrame) -> DataFrame:
-    """project_id, precision, recall, f1 of excluded characters, both sides together."""
-    out = shared.groupBy("project_id").agg(
+def exclusion_score(shared: DataFrame, by_side: bool = False) -> DataFrame:
+    """project_id (and side), precision, recall, f1 of excluded characters; without by_side both sides together."""
+    keys = ["project_id", "side"] if by_side else ["project_id"]
+    out = shared.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(F.col("gold").isNull() & F.col("predicted").isNull(), F.col("n"))), F.lit(0)).alias("both"),
         F.coalesce(F.sum(F.when(F.col("gold").isNull(), F.col("n"))), F.lit(0)).alias("g"),
         F.coalesce(F.sum(F.when(F.col("predicted").isNull(), F.col("n"))), F.lit(0)).alias("p"),
     )
     scored = out.withColumn("precision", ratio(F.col("both"), F.col("p"), F.col("g"))).withColumn("recall", ratio(F.col("both"), F.col("g"), F.col("p")))
-    return scored.select("project_id", "precision", "recall", f1(F.col("precision"), F.col("recall")).alias("f1"))
+    return scored.select(*keys, "precision", "recall", f1(F.col("precision"), F.col("recall")).alias("f1"))
 
 
 def boundaries(shared: DataFrame, layer: str) -> DataFrame:
@@ -102,7 +106,8 @@ def coarse_places(gold_ends: DataFrame, gold_set: DataFrame, predicted_set: Data
     order = book.orderBy("s", "t", "kind")
     point = F.when(F.col("kind") == 0, F.struct("s", "t"))
     before = F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(point, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    back = book.orderBy(F.desc("s"), F.desc("t"), F.desc("kind"))  # a frame that grows is one pass, one that shrinks is not
+    after = F.last(point, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     placed = every.withColumn("_a", before).withColumn("_b", after).where("kind = 1")
     inside = F.col("s").between(F.col("_a.s"), F.col("_b.s")) & F.col("t").between(F.col("_a.t"), F.col("_b.t"))
     known = placed.join(gold_set.withColumn("_gold", F.lit(True)), ["project_id", "s", "t"], "left")
@@ -163,3 +168,72 @@ def ligature_gaps(segs: DataFrame) -> DataFrame:
     pairs = F.arrays_zip(signs(F.col("original"), gap).alias("gap"), signs(F.col("corrected"), space).alias("space"))
     found = F.transform(pairs, lambda z, i: F.when(z["gap"] == "1", F.struct((i + 1).cast("long").alias("at"), F.coalesce(z["space"] == "1", F.lit(False)).alias("real"))))
     return segs.select("project_id", "side", "pos", F.explode(F.filter(found, lambda g: g.isNotNull())).alias("g")).select("project_id", "side", "pos", "g.at", "g.real")
+
+
+def block_openers(layer: DataFrame) -> DataFrame:
+    """project_id, block, speech: does the first segment of a source block open dialogue?"""
+    return layer.where("side = 'source'").groupBy("project_id", "block").agg(F.min_by(T.is_speech(F.col("text")), "pos").alias("speech"))
+
+
+def at_level(bounds: DataFrame, shared: DataFrame, openers: DataFrame, level: str) -> DataFrame:
+    """The boundaries (project_id, s, t) that count at a level: all (sentence), those not inside a block of speech (turn),
+    or those between two blocks (paragraph). shared: ``overlaps`` with blocks.
+
+    The common source characters are runs of one block; the run that ends at or holds a boundary's last character is
+    found by carrying runs back over the boundaries, all in one order.
+    """
+    if level not in ("sentence", "turn", "paragraph"):
+        raise ValueError(f"unknown level {level!r}")
+    if level == "sentence":
+        return bounds
+    order = Window.partitionBy("project_id").orderBy("at")
+    runs = shared.where("side = 'source' and gold is not null and predicted is not null").select("project_id", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), "block", F.lead("block").over(order).alias("next"))
+    run = F.struct(F.col("s").alias("end"), "block", "next")
+    none = F.lit(None).cast("struct<end:bigint,block:bigint,next:bigint>")
+    every = runs.select("project_id", "s", F.lit(None).cast("long").alias("t"), run.alias("run")).unionByName(bounds.select("project_id", "s", "t", none.alias("run")))
+    back = Window.partitionBy("project_id").orderBy(F.desc("s"), F.col("run").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = every.withColumn("run", F.last("run", ignorenulls=True).over(back)).where("t is not null")
+    placed = placed.join(openers.withColumnRenamed("block", "_block"), (F.col("run.block") == F.col("_block")) & placed["project_id"].eqNullSafe(openers["project_id"]), "left").drop(openers["project_id"])
+    edge = F.col("run").isNull() | (F.col("s") == 0) | ((F.col("s") == F.col("run.end")) & F.col("run.next").isNull())
+    breaks = (F.col("s") == F.col("run.end")) & (F.col("run.next") != F.col("run.block"))
+    kept = ~edge & breaks if level == "paragraph" else edge | breaks | ~F.coalesce(F.col("speech"), F.lit(False))
+    return placed.where(kept).select("project_id", "s", "t")
+
+
+def edits_by_span(gold: DataFrame, fresh: DataFrame) -> DataFrame:
+    """What becomes of each corrected segment of a reference layer (project_id, side, pos, original, corrected) on a fresh
+    book (project_id, side, pos, text, original): project_id, side, pos, at (the fresh segment of the very same counted
+    characters, null: none), corrected, outcome.
+
+    Corrections of spacing alone are counted (spacing, or spacing_matched where the fresh segment has it already) and never
+    applied; others are applied where the fresh text is the reference's original, already there, or unplaced.
+    """
+    order = Window.partitionBy("project_id", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+
+    def placed(x: DataFrame) -> DataFrame:
+        sized = x.withColumn("_size", F.length(T.scored_text(F.col("original"))).cast("long"))
+        return sized.withColumn("_start", F.coalesce(F.sum("_size").over(order), F.lit(0)))
+
+    own = placed(fresh).where("_size > 0").select("project_id", "side", "_start", "_size", F.col("pos").alias("at"), F.col("text").alias("_text"), F.col("original").alias("_original"))
+    met = placed(gold).where("corrected <> original").join(own, ["project_id", "side", "_start", "_size"], "left")
+    spacing = T.scored_text(F.col("corrected")) == T.scored_text(F.col("original"))
+    same = F.coalesce(F.col("_original") == F.col("corrected"), F.lit(False))
+    outcome = (
+        F.when(spacing, F.when(same, "spacing_matched").otherwise("spacing"))
+        .when((T.strip(F.col("corrected")) == "") | F.col("at").isNull(), "unplaced")
+        .when(same, "already")
+        .when(F.col("_text") == F.col("original"), "applied")
+        .otherwise("unplaced")
+    )
+    return met.select("project_id", "side", "pos", "at", "corrected", outcome.alias("outcome"))
+
+
+def transferred(segs: DataFrame, beads: DataFrame, turns: DataFrame, edits: DataFrame, worked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(segs, beads) after a transfer: beads of the turns (``transferable``) are marked at turn level, applied edits
+    (``edits_by_span``, by pos) are written. Books with work done (project_id, marked, edited) are refused as a whole."""
+    able = lambda x: x.join(worked.where("marked or edited").select("project_id"), "project_id", "left_anti")
+    inside = beads.join(able(turns).select("project_id", "first_bead", "last_bead"), "project_id").where("bead_pos between first_bead and last_bead").select("project_id", "bead_pos", F.lit(True).alias("_mark"))
+    marked = beads.join(inside, ["project_id", "bead_pos"], "left").withColumn("review_level", F.when(F.col("_mark"), F.greatest("review_level", F.lit(2))).otherwise(F.col("review_level")))
+    written = able(edits.where("outcome = 'applied'")).select("project_id", "side", F.col("at").alias("pos"), "corrected")
+    edited = segs.join(written, ["project_id", "side", "pos"], "left").withColumn("text", F.coalesce("corrected", "text"))
+    return edited.select(*segs.columns), marked.select(*beads.columns)

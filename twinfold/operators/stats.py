@@ -42,3 +42,29 @@ def runs_with_warnings(runs: DataFrame, warnings: DataFrame) -> DataFrame:
 def migrated_level(reviewed: Column) -> Column:
     """Review level of a row or snapshot that only had a reviewed flag."""
     return F.when(reviewed, 3).otherwise(0)
+
+
+def side_stats(blocks: DataFrame, segs: DataFrame) -> DataFrame:
+    """One row a book and side: last page (null: none), blocks by kind, excluded blocks, included segments."""
+    side = ["project_id", "side"]
+    by_kind = blocks.groupBy(*side, "kind").agg(F.count(F.lit(1)).alias("n"), F.max("page").alias("page"), F.count_if("excluded").alias("out"))
+    of_blocks = by_kind.groupBy(*side).agg(F.max("page").alias("pages"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("blocks"), F.sum("out").alias("excluded_blocks"))
+    of_segs = segs.groupBy(*side).agg(F.count_if(~F.col("excluded")).alias("segments"))
+    return of_blocks.join(of_segs, side, "left").withColumn("segments", F.coalesce("segments", F.lit(0)))
+
+
+def book_shapes(beads: DataFrame) -> DataFrame:
+    """project_id and its beads by shape, as a map."""
+    each = beads.groupBy("project_id", F.concat_ws(":", F.col("n_source").cast("string"), F.col("n_target").cast("string")).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("project_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("shape", "n")))).alias("shapes"))
+
+
+def migrated_changes(changes: Column) -> Column:
+    """A change log's snapshots (array of table, id, before, after; the last two are maps or null) with levels for flags."""
+
+    def row(values: Column) -> Column:
+        level = F.when(F.lower(values["reviewed"]).isin("1", "true"), "3").otherwise("0")
+        rest = F.map_filter(values, lambda k, _: k != "reviewed")
+        return F.when(F.map_contains_key(values, "reviewed"), F.map_concat(rest, F.create_map(F.lit("review_level"), level))).otherwise(values)
+
+    return F.transform(changes, lambda c: F.struct(c["table"].alias("table"), c["id"].alias("id"), row(c["before"]).alias("before"), row(c["after"]).alias("after")))

@@ -111,6 +111,28 @@ def with_matter(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("kind", kind).select(*blocks.columns)
 
 
+def extracted(found: DataFrame) -> DataFrame:
+    """doc_id, block_no, kind, text, page, excluded, warned of uploaded files (doc_id, path, content).
+
+    The reader is chosen by the extension, in any case; another one is an error where it is read, and so is PDF, whose lines
+    come from elsewhere (``layout``). Front and back matter is marked in all of them.
+    """
+    extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    known = F.when(extension.isin("txt", "docx"), extension).otherwise(F.raise_error(F.concat(F.lit("no reader for this file type: "), "path")))
+    files_ = found.select("doc_id", "content", known.alias("extension"))
+    text, warned = decoded(F.col("content"))
+    plain = files_.where("extension = 'txt'").select("doc_id", text.alias("text"), warned.alias("warned"))
+    from_text = text_blocks(plain).withColumn("kind", F.lit("paragraph")).join(plain.select("doc_id", "warned"), "doc_id")
+    from_word = docx_blocks(files_.where("extension = 'docx'")).withColumn("warned", F.lit(False))
+    blocks = from_text.unionByName(from_word).withColumn("page", F.lit(None).cast("long"))
+    return with_matter(blocks.select("doc_id", "block_no", "kind", "text", "page", "warned")).withColumn("excluded", F.col("kind").isin(*T.EXCLUDED_KINDS))
+
+
+def without_text(found: DataFrame, blocks: DataFrame) -> DataFrame:
+    """doc_id and path of files (doc_id, path) in which no included block was found: their import is refused."""
+    return found.select("doc_id", "path").join(blocks.where("not excluded").select("doc_id"), "doc_id", "left_anti")
+
+
 LETTER = r"\p{L}"
 
 
