@@ -175,29 +175,25 @@ def block_openers(layer: DataFrame) -> DataFrame:
     return layer.where("side = 'source'").groupBy("project_id", "block").agg(F.min_by(T.is_speech(F.col("text")), "pos").alias("speech"))
 
 
-def at_level(bounds: DataFrame, shared: DataFrame, openers: DataFrame, level: str) -> DataFrame:
-    """The boundaries (project_id, s, t) that count at a level: all (sentence), those not inside a block of speech (turn),
-    or those between two blocks (paragraph). shared: ``overlaps`` with blocks.
+def levels_of(bounds: DataFrame, shared: DataFrame, openers: DataFrame) -> DataFrame:
+    """Boundaries (project_id, s, t, any others) with turn and paragraph: does one count there? At turn level those do that
+    are not inside a block of speech, at paragraph level those between two blocks; at sentence level all do. shared:
+    ``overlaps`` with blocks.
 
     The common source characters are runs of one block; the run that ends at or holds a boundary's last character is
     found by carrying runs back over the boundaries, all in one order.
     """
-    if level not in ("sentence", "turn", "paragraph"):
-        raise ValueError(f"unknown level {level!r}")
-    if level == "sentence":
-        return bounds
     order = Window.partitionBy("project_id").orderBy("at")
     runs = shared.where("side = 'source' and gold is not null and predicted is not null").select("project_id", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), "block", F.lead("block").over(order).alias("next"))
-    run = F.struct(F.col("s").alias("end"), "block", "next")
-    none = F.lit(None).cast("struct<end:bigint,block:bigint,next:bigint>")
-    every = runs.select("project_id", "s", F.lit(None).cast("long").alias("t"), run.alias("run")).unionByName(bounds.select("project_id", "s", "t", none.alias("run")))
-    back = Window.partitionBy("project_id").orderBy(F.desc("s"), F.col("run").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = every.withColumn("run", F.last("run", ignorenulls=True).over(back)).where("t is not null")
-    placed = placed.join(openers.withColumnRenamed("block", "_block"), (F.col("run.block") == F.col("_block")) & placed["project_id"].eqNullSafe(openers["project_id"]), "left").drop(openers["project_id"])
-    edge = F.col("run").isNull() | (F.col("s") == 0) | ((F.col("s") == F.col("run.end")) & F.col("run.next").isNull())
-    breaks = (F.col("s") == F.col("run.end")) & (F.col("run.next") != F.col("run.block"))
-    kept = ~edge & breaks if level == "paragraph" else edge | breaks | ~F.coalesce(F.col("speech"), F.lit(False))
-    return placed.where(kept).select("project_id", "s", "t")
+    run = runs.select("project_id", "s", F.struct(F.col("s").alias("end"), "block", "next").alias("_run"))
+    asked = bounds.select("project_id", "s", F.struct(*bounds.columns).alias("_bound"))
+    back = Window.partitionBy("project_id").orderBy(F.desc("s"), F.col("_run").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = run.unionByName(asked, allowMissingColumns=True).withColumn("_run", F.last("_run", ignorenulls=True).over(back)).where("_bound is not null")
+    own = openers.select(F.col("project_id").alias("_book"), F.col("block").alias("_block"), "speech")
+    placed = placed.withColumn("_in", F.col("_run.block")).join(own, (F.col("_in") == F.col("_block")) & (F.col("project_id") == F.col("_book")), "left")
+    edge = F.col("_run").isNull() | (F.col("s") == 0) | ((F.col("s") == F.col("_run.end")) & F.col("_run.next").isNull())
+    breaks = F.coalesce((F.col("s") == F.col("_run.end")) & (F.col("_run.next") != F.col("_run.block")), F.lit(False))
+    return placed.select("_bound.*", (edge | breaks | ~F.coalesce("speech", F.lit(False))).alias("turn"), (~edge & breaks).alias("paragraph"))
 
 
 def edits_by_span(gold: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -117,13 +117,10 @@ def boundary_levels(lib):
     blocks = lib.segments.withColumn("pos", F.row_number().over(Window.partitionBy("project_id", "side").orderBy("block_pos", "seg_no")).cast("long") - 1).select("project_id", "side", "pos", F.col("block_pos").alias("block"))
     layer = predicted.join(blocks, ["project_id", "side", "pos"])
     common = quality.overlaps(quality.spans(gold), quality.spans(layer))
-    openers = quality.block_openers(layer)
-    sets = {x: quality.inner_boundaries(quality.boundaries(common, x)) for x in ("gold", "predicted")}
-    parts = [quality.at_level(bounds, common, openers, level).select(F.lit(name).alias("layer"), "project_id", "s", "t", F.lit(level).alias("level")) for name, bounds in sets.items() for level in ("turn", "paragraph")]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    sets = (quality.inner_boundaries(quality.boundaries(common, x)).withColumn("layer", F.lit(x)) for x in ("gold", "predicted"))
+    found = quality.levels_of(next(sets).unionByName(next(sets)), common, quality.block_openers(layer))
+    names = F.filter(F.array(F.when(F.col("turn"), "turn"), F.when(F.col("paragraph"), "paragraph")), lambda x: x.isNotNull())
+    return found.select("layer", "project_id", "s", "t", F.explode(names).alias("level"))
 
 
 # Transfers ------------------------------------------------------------------------------------------------------
