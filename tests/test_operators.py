@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import math
 import random
 import re
@@ -186,10 +187,67 @@ def test_bundle_errors(spark):
             z.writestr(name, text)
         return bytearray(out.getvalue())
 
-    made = [(1, bytearray(b"no zip")), (2, zipped("other.json", "{}")), (3, zipped("bundle.json", '{"format": "x"}')), (4, zipped("bundle.json", '{"format": "parallel-book", "version": true}')), (5, zipped("bundle.json", '{"format": "parallel-book", "version": 2, "documents": [{"side": "source", "blocks": [{"kind": "other", "excluded": false, "segments": [{"text": "t", "bead": 3}]}]}], "beads": []}'))]
-    read = export.read_bundles(spark.createDataFrame(made, "project_id long, content binary"))
-    assert {r.project_id for r in read.where("error is not null").collect()} == {1, 2, 3, 4}
-    assert [r.path for r in export.bad_references(*export.restored(read)).collect()] == ["documents.source.blocks[0].segments[0].bead"]
+    segment = {"text": "t", "original_text": "t", "bead": 0}
+    book = {"format": "parallel-book", "version": 2, "book": {"title": "A"}, "documents": [{"side": "source", "blocks": [{"kind": "other", "excluded": False, "page": None, "segments": [segment]}]}], "beads": [{"confidence": 1, "method": "manual", "review_level": "turn"}]}
+
+    def changed(change) -> str:
+        made = json.loads(json.dumps(book))
+        change(made)
+        return json.dumps(made)
+
+    refused = {
+        "not a bundle: BadZipFile": bytearray(b"no zip"),
+        "not a bundle: KeyError": zipped("other.json", "{}"),
+        "not a bundle of this kind": zipped("bundle.json", '{"format": "x"}'),
+        "version True is not known": zipped("bundle.json", changed(lambda b: b.update(version=True))),
+        "documents.source.blocks[0].segments[0].bead is out of range": zipped("bundle.json", changed(lambda b: b["documents"][0]["blocks"][0]["segments"][0].update(bead=3))),
+        "documents[0].blocks[0].excluded must be true or false": zipped("bundle.json", changed(lambda b: b["documents"][0]["blocks"][0].update(excluded=1))),
+        "documents[0].blocks[0].segments[0].bead must be a whole number or null": zipped("bundle.json", changed(lambda b: b["documents"][0]["blocks"][0]["segments"][0].update(bead=True))),
+        "beads must be a list": zipped("bundle.json", changed(lambda b: b.pop("beads"))),
+        "beads[0].review_level can't be 'all'": zipped("bundle.json", changed(lambda b: b["beads"][0].update(review_level="all"))),
+        "book.title must be a text": zipped("bundle.json", changed(lambda b: b["book"].update(title=None))),
+    }
+    made = [*enumerate(refused.values()), (90, zipped("bundle.json", json.dumps(book)))]
+    first = changed(lambda b: (b.update(version=1), b["beads"][0].pop("review_level"), b["beads"][0].update(reviewed=True)))
+    read = export.read_bundles(spark.createDataFrame([*made, (91, zipped("bundle.json", first))], "project_id long, content binary"))
+    assert {r.project_id: r.error for r in read.where("error is not null").collect()} == dict(enumerate(refused))
+    segs, beads = export.restored(read)
+    assert {(r.project_id, r.review_level) for r in beads.collect()} == {(90, 2), (91, 3)}
+    assert segs.count() == 2 and export.bad_references(segs, beads).count() == 0
+    assert [r.title for r in export.restored_books(read, spark.createDataFrame([("A",)], "title string"), "2024-03-01", "now").collect()] == ["A (restored 2024-03-01)"] * 2
+
+
+def test_disposition(spark):
+    told = spark.createDataFrame([("Été: 1/2",)], "title string").select(export.disposition(F.col("title"), ".zip").alias("h")).first().h
+    assert told == "attachment; filename=\"_t__ 1_2.zip\"; filename*=UTF-8''%C3%89t%C3%A9_%201_2.zip"
+
+
+def test_replaced_run_and_places(spark):
+    """Unknown methods and other segments are refused; a run at the book's edge; no room between siblings."""
+    keys = "project_id long, side string, block_pos long, seg_no long, text string, original_text string, excluded boolean, bead_pos double"
+    made = spark.createDataFrame([(p, s, 1, k, f"{s}{k}", f"{s}{k}", False, float(k)) for p in (1, 2, 3) for s in ("source", "target") for k in range(3)], keys)
+    beads = spark.createDataFrame([(p, float(k), 0.5, "length", 2) for p in (1, 2, 3) for k in range(3)], "project_id long, bead_pos double, confidence double, method string, review_level int")
+    runs = spark.createDataFrame([(p, 1, 2) for p in (1, 2, 3)], "project_id long, first int, last int")
+    new = [(1, "source", 1, 1, 0, 1.0, "manual"), (1, "source", 1, 2, 0, 1.0, "manual"), (1, "target", 1, 1, 0, 1.0, "manual"), (1, "target", 1, 2, 1, 0.9, "manual")]
+    new += [(2, *r[1:]) for r in new[:3]] + [(3, *r[1:6], "guess") for r in new]
+    segs, after, refused = edits.run_replaced(made, beads, runs, spark.createDataFrame(new, "project_id long, side string, block_pos long, seg_no long, n int, confidence double, method string"))
+    assert {r.project_id for r in refused.collect()} == {2, 3}
+    got = {(r.project_id, r.bead_pos): (r.confidence, r.method, r.review_level) for r in after.collect()}
+    assert {k: v for k, v in got.items() if k[0] == 1} == {(1, 0.0): (0.5, "length", 2), (1, 1.0): (1.0, "manual", 0), (1, 2.0): (0.9, "manual", 0)} and len(got) == 9
+    assert sorted((r.side, r.seg_no, r.bead_pos) for r in segs.where("project_id = 1").collect()) == [("source", 0, 0.0), ("source", 1, 1.0), ("source", 2, 1.0), ("target", 0, 0.0), ("target", 1, 1.0), ("target", 2, 2.0)]
+
+
+def test_phrase_highlights(spark):
+    text = spark.createDataFrame([("Un deux, un-deux trois UN",)], "text string")
+    spans = text.select(search.highlights(F.col("text"), ["un", "de"]).alias("s")).first().s
+    assert [x.text for x in spans if x.match] == ["Un", "deux", "un", "deux"] and "".join(x.text for x in spans) == "Un deux, un-deux trois UN"
+    assert [x.text for x in text.select(search.highlights(F.col("text"), ["un", "deux", "trois"], whole_words=True).alias("s")).first().s if x.match] == ["un", "deux", "trois"]
+
+
+def test_empty_index(spark, tmp_path):
+    none = spark.createDataFrame([], "token string, project_id long, bead_pos long, side string, pos int")
+    search.write_index(none, f"{tmp_path}/i")
+    assert search.matching(search.read_index(spark, f"{tmp_path}/i"), '"a b" c').count() == 0
 
 
 def test_tables_of_decisions(spark, tmp_path):

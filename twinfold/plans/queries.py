@@ -274,11 +274,39 @@ def edition_text(lib):
     return export.edition_text(lib.segments)
 
 
-@query("SELECT project_id, side, kind, seg_no, text, bead_pos AS bead FROM zipped")
+def bundled(lib: Library) -> DataFrame:
+    """Bundles of the library, zipped and read again; every third segment was edited."""
+    segs = lib.segments.withColumn("original_text", F.when(F.col("pos") % 3 == 1, F.reverse("text")).otherwise(F.col("text"))).withColumn("page", F.expr("block_pos div 8"))
+    books = lib.blocks.select("project_id").distinct()
+    name = F.concat(F.lit("conv "), F.col("project_id").cast("string"))
+    told = books.select("project_id", name.alias("title"), F.lit("en").alias("source_lang"), F.lit(None).cast("string").alias("target_lang"), F.lit("2024-01-01").alias("created_at"), F.lit("2024-01-02").alias("updated_at"))
+    files = lib.blocks.select("project_id", "side").distinct().withColumn("filename", F.concat(name, F.lit("."), "side")).withColumn("format", F.lit("txt"))
+    warnings = F.when(F.col("project_id") % 2 == 0, F.array(F.struct(F.lit(None).cast("string").alias("side"), F.lit("even").alias("message")))).otherwise(F.array().cast("array<struct<side:string,message:string>>"))
+    run = lambda kind, at: books.select("project_id", F.lit(kind).alias("kind"), F.lit(at).alias("created_at"), F.lit("1").alias("app_version"), F.lit('{"beads":1}').alias("stats"), warnings.alias("warnings"))
+    made = export.bundles(segs, lib.beads, told, files, run("align", "2024-01-03").unionByName(run("import", "2024-01-02")), "1", "2024-02-01")
+    return export.read_bundles(export.zipped_bundles(made))
+
+
+@query("SELECT project_id, side, kind, excluded, block_pos // 8 AS page, seg_no, text, CASE WHEN pos % 3 = 1 THEN reverse(text) ELSE text END AS original_text, bead_pos AS bead FROM zipped")
 def bundle_roundtrip(lib):
-    beads = lib.beads.withColumn("bead_pos", F.col("bead_pos"))
-    segs, _ = export.restored(export.read_bundles(export.zipped_bundles(export.bundles(lib.segments, beads))))
-    return segs.select("project_id", "side", "kind", F.col("seg_no").cast("long").alias("seg_no"), "text", "bead")
+    segs, _ = export.restored(bundled(lib))
+    return segs.select("project_id", "side", "kind", "excluded", "page", F.col("seg_no").cast("long").alias("seg_no"), "text", "original_text", "bead")
+
+
+@query("SELECT project_id, bead_pos AS bead, confidence, method, review_level FROM beads")
+def bundle_beads(lib):
+    return export.restored(bundled(lib))[1].withColumn("bead", F.col("bead").cast("long"))
+
+
+@query("""SELECT DISTINCT project_id, 'conv ' || project_id || CASE WHEN project_id % 5 = 0 THEN ' (restored 2024-03-01)' ELSE '' END AS title, 'en' AS source_lang, NULL::VARCHAR AS target_lang, '2024-01-01' AS created_at, '2024-03-01 10:00' AS updated_at FROM blocks""")
+def bundle_books(lib):
+    titles = lib.blocks.where("project_id % 5 = 0").select(F.concat(F.lit("conv "), F.col("project_id").cast("string")).alias("title"))
+    return export.restored_books(bundled(lib), titles, "2024-03-01", "2024-03-01 10:00")
+
+
+@query("""SELECT project_id, r.run, r.kind, r.created_at, CASE WHEN project_id % 2 = 0 THEN 1 ELSE 0 END AS n_warnings FROM (SELECT DISTINCT project_id FROM blocks), (VALUES (0, 'import', '2024-01-02'), (1, 'align', '2024-01-03')) AS r(run, kind, created_at)""")
+def bundle_runs(lib):
+    return export.restored_runs(bundled(lib)).select("project_id", "run", "kind", "created_at", F.size("warnings").alias("n_warnings"))
 
 
 @query("SELECT DISTINCT project_id, side, kind, block_pos - 1 AS block_no, string_agg(text, ' ' ORDER BY seg_no) OVER (PARTITION BY project_id, side, block_pos ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS text FROM zipped WHERE NOT excluded AND side = 'target'")
