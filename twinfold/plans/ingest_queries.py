@@ -139,6 +139,38 @@ def glyphs_applied(spark, d):
     return ingest.glyphs_replaced(glyphed(spark, d).select("doc_id", "text"), readings(spark, d)).select("doc_id", "text")
 
 
+ANSWERS = f"""WITH o AS (SELECT doc_id, u.c AS glyph, u.i FROM (SELECT doc_id, {GLYPHED} AS text FROM documents), UNNEST(string_split(text, '')) WITH ORDINALITY AS u(c, i) WHERE u.c IN (chr(57345), chr(57346))),
+v AS (SELECT *, CASE WHEN glyph = chr(57345) THEN 'qu' ELSE 'th' END AS reading FROM o WHERE i % 4 <> 0 UNION ALL SELECT *, 'x' FROM o WHERE i % 4 = 0 AND i % 8 <> 0),
+c AS (SELECT doc_id, glyph, reading, count(*) AS n, min(i) AS f FROM v GROUP BY ALL),
+r AS (SELECT *, row_number() OVER w AS k, coalesce(lead(n) OVER w, 0) AS nx FROM c WINDOW w AS (PARTITION BY doc_id, glyph ORDER BY n DESC, f))
+"""
+
+
+@query(ANSWERS + "SELECT doc_id, glyph, reading FROM r WHERE k = 1 AND n >= 3 AND n >= 2 * nx", library=False)
+def glyph_fill(spark, d):
+    """A reader's answers for each occurrence: letters, now and then other letters, and now and then no letters at all."""
+    places = ingest.glyph_places(glyphed(spark, d))
+    right = F.when(F.col("glyph") == "\ue001", "qu").otherwise("th")
+    answer = F.when(F.col("at") % 8 == 0, "not sure 1").when(F.col("at") % 4 == 0, "x").otherwise(right)
+    return ingest.filled(places.select("doc_id", "glyph", "at", F.to_json(F.struct(answer.alias("reading"))).alias("answer")))
+
+
+@query(VOTES + """, n AS (SELECT doc_id, glyph, count(*) AS n FROM o GROUP BY ALL), lft AS (SELECT * FROM n ANTI JOIN won USING (doc_id, glyph))
+SELECT doc_id, glyph, n, least(n, 6) AS n_samples FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, glyph) AS k FROM lft) WHERE k <= 1""", library=False)
+def glyph_questions(spark, d):
+    found = ingest.glyph_occurrences(glyphed(spark, d))
+    return ingest.open_questions(found, readings(spark, d), most=1).select("doc_id", "glyph", "n", F.size("samples").cast("long").alias("n_samples"))
+
+
+@query(VOTES + "SELECT * FROM won WHERE doc_id % 3 <> 1", library=False)
+def glyph_veto(spark, d):
+    found = glyphed(spark, d)
+    places = ingest.glyph_places(found)
+    votes = places.withColumn("reading", F.when(F.col("at") % 3 == 0, "x").when(F.col("glyph") == "\ue001", "qu").otherwise("th"))
+    vetoes = places.select("doc_id", "glyph", F.when(F.col("doc_id") % 3 == 1, False).when(F.col("doc_id") % 3 == 2, True).alias("good")).distinct()
+    return ingest.voted(votes, ingest.glyph_occurrences(found), vetoes=vetoes)
+
+
 # Pages: each line of a document is a printed line; sizes and places are arithmetic on line numbers.
 PAGED = rf"""WITH raw AS (SELECT doc_id, n, {TRIMMED} AS body FROM ({DOC_LINES}) WHERE {TRIMMED} <> ''),
 num AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS k FROM raw),

@@ -16,6 +16,7 @@ from ..functions import text as T
 LONG_PARAGRAPH, NOTES_WORDS = 60, 6
 PUA = r"[\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]"
 SAMPLES, LEAST_OCCURRENCES, LEAST_VOTES, LEAD = 16, 8, 2, 2
+ASKED_GLYPHS, ASKED_SAMPLES, ANSWER_VOTES = 50, 6, 3
 WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -204,14 +205,36 @@ def glyph_occurrences(texts: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "glyph").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= SAMPLES, F.struct("k", "close", "wide")))), lambda s: F.struct(s["close"].alias("close"), s["wide"].alias("wide"))).alias("samples"))
 
 
-def voted(votes: DataFrame, occurrences: DataFrame, least: int = LEAST_OCCURRENCES) -> DataFrame:
-    """doc_id, glyph, reading: the reading (votes: doc_id, glyph, reading, at) of each glyph that occurs more than ``least``
-    times, if it has two votes and twice those of the next; of equal ones the first seen."""
+def leading(votes: DataFrame, least: int) -> DataFrame:
+    """doc_id, glyph, reading: the reading (votes: doc_id, glyph, reading, at) of each glyph that has ``least`` votes or more
+    and twice those of the next; of equal ones the first seen."""
     counted = votes.groupBy("doc_id", "glyph", "reading").agg(F.count(F.lit(1)).alias("v"), F.min("at").alias("first"))
     glyph = Window.partitionBy("doc_id", "glyph").orderBy(F.desc("v"), "first")
     ranked = counted.withColumn("_n", F.row_number().over(glyph)).withColumn("_next", F.coalesce(F.lead("v").over(glyph), F.lit(0)))
-    won = ranked.where(f"_n = 1 and v >= {LEAST_VOTES} and v >= {LEAD} * _next")
-    return won.join(occurrences.where(F.col("n") > least).select("doc_id", "glyph"), ["doc_id", "glyph"], "left_semi").select("doc_id", "glyph", "reading")
+    return ranked.where((F.col("_n") == 1) & (F.col("v") >= least) & (F.col("v") >= LEAD * F.col("_next"))).select("doc_id", "glyph", "reading")
+
+
+def voted(votes: DataFrame, occurrences: DataFrame, least: int = LEAST_OCCURRENCES, vetoes: DataFrame | None = None) -> DataFrame:
+    """The ``leading`` reading of each glyph that occurs more than ``least`` times. vetoes (doc_id, glyph, good) are a second
+    opinion on readings: only an explicit false takes one back."""
+    won = leading(votes, LEAST_VOTES).join(occurrences.where(F.col("n") > least).select("doc_id", "glyph"), ["doc_id", "glyph"], "left_semi")
+    return won if vetoes is None else won.join(vetoes.where("good = false").select("doc_id", "glyph"), ["doc_id", "glyph"], "left_anti")
+
+
+def open_questions(occurrences: DataFrame, readings: DataFrame, most: int = ASKED_GLYPHS) -> DataFrame:
+    """doc_id, glyph, n and samples (six at most) of the glyphs without a reading that a reader is asked about: the
+    commonest of a document, as many as ``most``; the limit is the feature."""
+    left = occurrences.join(readings.select("doc_id", "glyph"), ["doc_id", "glyph"], "left_anti")
+    rank = Window.partitionBy("doc_id").orderBy(F.desc("n"), "glyph")
+    return left.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= most).select("doc_id", "glyph", "n", F.slice("samples", 1, ASKED_SAMPLES).alias("samples"))
+
+
+def filled(answers: DataFrame) -> DataFrame:
+    """doc_id, glyph, reading from a reader's answers (doc_id, glyph, at, answer: JSON with ``reading``): one to four letters
+    count as a vote, anything else does not; three votes and twice those of the next decide."""
+    read = F.get_json_object("answer", "$.reading")
+    votes = answers.select("doc_id", "glyph", "at", read.alias("reading")).where(F.col("reading").rlike(r"^\p{L}{1,4}$"))
+    return leading(votes, ANSWER_VOTES)
 
 
 def glyphs_replaced(texts: DataFrame, readings: DataFrame) -> DataFrame:
