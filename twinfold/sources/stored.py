@@ -38,7 +38,7 @@ def state_of(source: DataFrame) -> tuple:
     jvm, conf = source.sparkSession._jvm, source.sparkSession._jsc.hadoopConfiguration()
     out = []
     for name in sorted(source.inputFiles()):
-        path = jvm.org.apache.hadoop.fs.Path(name)
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))  # names are encoded as in addresses
         status = path.getFileSystem(conf).getFileStatus(path)
         out.append((name, status.getLen(), status.getModificationTime()))
     return tuple(out)
