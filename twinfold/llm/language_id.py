@@ -47,10 +47,11 @@ def sample_words(labelled: DataFrame, docs_each: int = SAMPLE_DOCS) -> dict[str,
     Only documents whose hash is low enough for some 1.3 docs_each a language (six deviations above it) are gathered.
     """
     known = labelled.where("text is not null and lang is not null").select("doc_id", "lang", "text").withColumn("_h", F.shiftright(F.xxhash64("doc_id", "text"), 24))  # 40 bits
+    # One row a language, as the model has one column a language.
     wanted = docs_each + 6 * docs_each**0.5 + 20
     shares = labelled.where("text is not null and lang is not null").groupBy("lang").agg((F.lit(wanted) / F.count(F.lit(1)) * (1 << 40) - (1 << 39)).alias("_limit"))
     order = Window.partitionBy("lang").orderBy("_h", "doc_id", "text")
-    chosen = known.join(shares, "lang").where(F.col("_h") <= F.col("_limit")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= docs_each)
+    chosen = known.join(F.broadcast(shares), "lang").where(F.col("_h") <= F.col("_limit")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= docs_each)
     counts = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word")).groupBy("lang", "word").count()
     out: dict[str, dict[str, int]] = {}
     for lang, word, n in counts.collect():
@@ -259,7 +260,7 @@ class WordScores(dict):
         return self.table
 
 
-def identify(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...] = (), cache_words: int = 400_000) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...] = (), cache_words: int = 300_000) -> DataFrame:
     """doc_id, the carried columns, lang_pred and score (posterior probability of lang_pred) for every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary times languages: it does not grow with the data
 
