@@ -81,7 +81,7 @@ class WordTokenizer:
     words met less than three times are forgotten, and all of them if those are too many.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.letters, self.limit = Tokenizer.from_file(path), byte_letters(), limit
