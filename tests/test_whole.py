@@ -135,7 +135,7 @@ def test_all_blocks_and_beads_of_a_book(spark, tmp_path):
     for name in ("include_block", "load_blocks", "append_beads", "renumber"):
         assert sorted(run(name), key=key) == sorted(sql(name), key=key)
     source = {(r["block_pos"], r["seg_no"]): (r["excluded"], r["bead_pos"]) for r in run("include_block") if r["side"] == "source"}
-    k = 1 / 4096
+    k = 1 / 3  # two new beads divide the way to the first one
     beads = {1: -1 + k, 2: -1 + 2 * k, 3: 0.0, 4: 0.0, 5: 0.0, 6: 1.0, 7: 1.0, 8: 1.0, 9: 2.0}
     assert source == {(b, s): (False, at) for b, at in beads.items() for s in range(2 if b == 2 else 1)}
     assert [r["ord"] for r in sorted(run("load_blocks"), key=lambda r: (r["side"], r["block_pos"]))] == [n * 1024 for n in range(9)] + [n * 1024 for n in range(4)]
