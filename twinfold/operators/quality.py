@@ -32,7 +32,8 @@ def overlaps(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     on; where the predicted layer has a block column, also the block they are in.
 
     Cut points of both layers are merged on each side; between two neighbouring cuts each layer has one segment, found
-    by carrying its last start forward. This is linear where an interval join would compare neighbours.
+    by carrying its last start forward. This is linear where an interval join would compare neighbours. The scores read
+    the result several times, so it should be written first.
     """
     block = "block" in predicted.columns
     held = lambda x, k: F.struct("bead", F.col("block").cast("long").alias("block")) if block and k == "p" else F.struct("bead", F.lit(None).cast("long").alias("block"))

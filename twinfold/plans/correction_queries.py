@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import align, edits, history, quality
 from ..operators import levels as L
 from ..operators import search
+from ..sources.stored import stored
 from ..sources.testbed import Library
 from .queries import UNITS, query
 
@@ -331,8 +332,13 @@ def layers(lib: Library) -> tuple[DataFrame, DataFrame]:
 
 
 def shared(lib: Library) -> DataFrame:
-    gold, predicted = layers(lib)
-    return quality.overlaps(quality.spans(gold), quality.spans(predicted))
+    """What the two layers share: written once, as all scores read it several times."""
+
+    def write(folder: str) -> None:
+        gold, predicted = layers(lib)
+        quality.overlaps(quality.spans(gold), quality.spans(predicted)).write.parquet(folder)
+
+    return lib.spark.read.parquet(stored(lib.spark, "overlaps", lib.source, write))
 
 
 @query(LAYERS + "SELECT project_id, side, ap AS pos, start, length FROM sp WHERE length > 0")
